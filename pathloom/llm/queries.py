@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pathloom.llm import decontaminate, substrings
+from pathloom.llm import decontaminate, near, substrings
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op7_minhash": near.op7_minhash,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op3_substring_dedup": substrings.ORACLE,
+    "op7_minhash": near.ORACLE,
 }
