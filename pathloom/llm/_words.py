@@ -20,6 +20,9 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 #: Bytes that end a word `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words of letters and digits: every ASCII byte but 0-9, A-Z and a-z.
+SYMBOLS = np.zeros(256, bool)
+SYMBOLS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
 @dataclass
@@ -57,13 +60,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         lo = hi
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """Words between white space; null texts have none."""
+def split(texts: pa.Array, lower: bool = False, between: np.ndarray = SPACE) -> Words:
+    """Words between white space, or other bytes; null texts have none."""
     parts = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
     buf = b"\n" + b"\n".join(parts) + b"\n"
     if lower:
         buf = buf.translate(_LOWER)
-    inside = ~SPACE[np.frombuffer(buf, np.uint8)]
+    inside = ~between[np.frombuffer(buf, np.uint8)]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     begin = np.concatenate([[1], 2 + np.cumsum([len(x) for x in parts]) + np.arange(len(parts))]).astype(np.int64)
     start, end = edges[0::2], edges[1::2]

@@ -6,7 +6,8 @@ against the benchmark's own n-gram. Words hit are merged to spans; spans or whol
 
 Defined results: null or empty texts have no words and no hits; an item of fewer than n words (but some)
 is one window of its length; an item without id marks words but is not counted; repeated rows each get
-the same result; columns other than the id and the text pass through untouched.
+the same result; columns other than the id and the text pass through untouched, whatever their names (those that begin with
+__loom_ are taken).
 """
 
 from __future__ import annotations
@@ -97,9 +98,9 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, block: int = B
 
 
 def _beside_hits(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """documents with the struct column `_hit`, null where there is no hit."""
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.struct("spans", "n_hit", "items").alias("_hit"))
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").drop("_id", "_hash")
+    """documents with the struct column `__loom_hit`, null where there is no hit."""
+    found = found.select(F.col("doc_id").alias("__loom_id"), F.col("text_hash").alias("__loom_hash"), F.struct("spans", "n_hit", "items").alias("__loom_hit"))
+    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("__loom_id")) & (F.xxhash64("text") == F.col("__loom_hash")), "left").drop("__loom_id", "__loom_hash")
 
 
 def report(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -118,15 +119,15 @@ def report(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame
 def remove_documents(documents: DataFrame, benchmark: DataFrame, n: int = 10, share: float = 0.0) -> DataFrame:
     """The documents of which at most `share` of the words is hit, with their own columns."""
     both = _beside_hits(documents, hits(documents, benchmark, n))
-    bad = F.coalesce(F.col("_hit.n_hit") > share * F.size(words(F.col("text"))), F.lit(False))
+    bad = F.coalesce(F.col("__loom_hit.n_hit") > share * F.size(words(F.col("text"))), F.lit(False))
     return both.where(~bad).select(*(documents[c] for c in documents.columns))
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Documents without the words hit; a text that is cut is its other words, normalised and joined by spaces."""
     both = _beside_hits(documents, hits(documents, benchmark, n))
-    kept = F.filter(words(F.col("text")), lambda w, i: ~F.exists(F.col("_hit.spans"), lambda s: (s["start"] <= i) & (i < s["end"])))
-    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
+    kept = F.filter(words(F.col("text")), lambda w, i: ~F.exists(F.col("__loom_hit.spans"), lambda s: (s["start"] <= i) & (i < s["end"])))
+    text = F.when(F.col("__loom_hit").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
     return both.select(*(text.alias("text") if c == "text" else documents[c] for c in documents.columns))
 
 

@@ -232,8 +232,8 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """documents without those whose component has a smaller id; rows without id stay."""
     _, links = near_links(documents, k, percent)
-    dropped = components(links).select(F.col("node").alias("_dropped"))
-    return documents.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    dropped = components(links).select(F.col("node").alias("__loom_dropped"))
+    return documents.join(dropped, F.col("doc_id") == F.col("__loom_dropped"), "left_anti")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pathloom.llm import decontaminate, near, substrings
+from pathloom.llm import decontaminate, near, packing, substrings, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_minhash": near.op7_minhash,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
