@@ -209,10 +209,11 @@ def near_links(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     buckets = firsts.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = materialize(buckets, "buckets")
     members = materialize(firsts.join(buckets, ["band", "key"]).where("id <> centre").select("centre", "id").distinct(), "members")
-    sizes = members.groupBy("centre").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks"))
+    sizes = materialize(members.groupBy("centre").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks")), "sizes")
     members = members.unionByName(members.select("centre", F.col("centre").alias("id")).distinct()).join(sizes, "centre")
     members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = members.join(texts.where("doc_id IS NOT NULL"), F.col("id") == F.col("doc_id")).drop("doc_id")
+    # A merge join at every size: how many members there are is unknown, and a plan that changes with it can't be judged by small runs.
+    met = members.join(texts.where("doc_id IS NOT NULL").hint("merge"), F.col("id") == F.col("doc_id")).drop("doc_id")
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("centre", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "text")
     met = met.repartition(partitions(spark), "centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
