@@ -8,8 +8,9 @@ words that is aligned is its coverage.
 Seeds only choose where to look: all places of all seeds are looked at, in windows around them, so long texts cost
 no more than their seeds. Every document has one row, of its best template.
 
-Defined results: a null or empty text, and one without seeds, has no license and coverage 0; of equal coverages
-the template with more words aligned wins, then the earlier in the list; repeated rows have the same result each.
+Defined results: a null or empty text, and one without seeds, has no license and coverage 0; of templates that are
+covered enough the one with most words aligned wins, else the one with the greatest coverage, of equals the earlier
+in the list; repeated rows have the same result each.
 """
 
 from __future__ import annotations
@@ -129,8 +130,11 @@ def scan(text: str, templates: Sequence[Template]) -> tuple[str | None, float, i
     top: tuple = (None, 0.0, 0, 0, 0)
     for t in templates:
         n, lo, hi = t.best(words, places)
-        if (n / len(t.words), n) > (top[1], top[2]):
-            top = (t.name, n / len(t.words), n, lo, hi)
+        share = n / len(t.words)
+        enough, before = share >= LICENSED, top[1] >= LICENSED
+        # A notice may hold a shorter one, which it covers in full: of those that suffice, the one with more words.
+        if (enough, n if enough else share, share) > (before, top[2] if before else top[1], top[1]):
+            top = (t.name, share, n, lo, hi)
     return top
 
 
