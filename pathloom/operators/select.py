@@ -74,7 +74,7 @@ def select(
     elif strategy == "recursive":
         found = recursive(documents(df, column), compiled, index=include_array_index)
     else:
-        found = unrolled(documents(df, column), compiled, index=include_array_index, max_depth=max_depth, array_depth=array_depth)
+        found = unrolled(documents(df, column), compiled, index=include_array_index, ordered=ordered, max_depth=max_depth, array_depth=array_depth)
     own = [F.col(f"`{c}`") for c in df.columns if c != column]
     result = [F.col("_shown").alias("path"), F.col("_value").alias("value"), F.col("_kind").alias("kind")]
     return found.select(*own, *result, *([F.col("_ord").alias("ord")] if ordered else []))
