@@ -1,12 +1,7 @@
 import random
 
 import pytest
-
-VOCABULARY = [a + b for a in ("Ba", "ke", "lo", "mü", "nA") for b in ("r", "st", "t", "né", "x")]
-
-
-def prose(rng, n):
-    return "".join(rng.choice(VOCABULARY) + rng.choice([" ", " ", " ", ", ", "\n", "\t ", ". "]) for _ in range(n))
+from brute import VOCABULARY, prose
 
 
 @pytest.fixture(scope="session")

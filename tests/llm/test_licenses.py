@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import prose
+from brute import prose
 from hypothesis import given
 from hypothesis import strategies as st
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from conftest import prose
+from brute import prose
 
 from pathloom.llm import toxicity as T
 
