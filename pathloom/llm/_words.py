@@ -6,6 +6,7 @@ the bound is a slice of its own), so memory follows the slice, not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,11 @@ import pyarrow.compute  # noqa: F401
 
 SLICE_BYTES = 4 << 20
 
+# Python workers live on from task to task. With a fixed threshold the C library gives arrays of over 1 MB back when they
+# are freed; by default it raises the threshold to their size and keeps them. (-3: M_MMAP_THRESHOLD.)
+if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+    _libc.mallopt(-3, 1 << 20)
+
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 #: Bytes that end a word `[^\x20\x09-\x0D]+`.

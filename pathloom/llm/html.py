@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import _words as W
-from pathloom.llm._shared import materialize, table
+from pathloom.llm._shared import bounded, materialize, table
 
 #: A merged node is judged from so many pages on, and is low under this importance.
 MIN_PAGES, LOW = 5, 0.3
@@ -220,7 +220,7 @@ def hash_of(text: str) -> int:
 
 def low_nodes(pages: DataFrame) -> DataFrame:
     """host and its nodes of low importance; pages has host and html."""
-    seen = pages.where("host <> ''").select("host", "html").mapInArrow(_seen, "host string, node string, kind int, what long, pages long")
+    seen = pages.where("host <> ''").select("host", "html").transform(bounded).mapInArrow(_seen, "host string, node string, kind int, what long, pages long")
     seen = seen.groupBy("host", "node", "kind", "what").agg(F.sum("pages").alias("c"))
     both = seen.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     # Entropy of counts c that sum to m, as a share of its maximum log m.
@@ -247,7 +247,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each page."""
     known = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     low = materialize(low_nodes(known), "low-nodes")
-    return known.join(low, "host", "left").select("page_id", "url", "html", "host", "low").mapInArrow(_extract, "page_id long, url string, text string")
+    return known.join(low, "host", "left").select("page_id", "url", "html", "host", "low").transform(bounded).mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import _words as W
-from pathloom.llm._shared import table
+from pathloom.llm._shared import bounded, table
 
 BITS = 20
 TRAIN_ROWS = 16384
@@ -105,9 +105,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tu
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.struct(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).alias("turn"), F.col("label").cast("int"), "text")
-    found = texts.mapInArrow(_extract, "turn struct<col1:long,doc_id:long,col3:long>, label int, features array<int>")
+    found = texts.transform(bounded).mapInArrow(_extract, "turn struct<col1:long,doc_id:long,col3:long>, label int, features array<int>")
     again = found.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
-    learned = again.repartition(1).sortWithinPartitions("epoch", "turn").select("label", "features").mapInArrow(_learn, "feature int, weight double").toPandas()
+    learned = again.repartition(1).sortWithinPartitions("epoch", "turn").select("label", "features").transform(bounded).mapInArrow(_learn, "feature int, weight double").toPandas()
     return learned["feature"].to_numpy(), learned["weight"].to_numpy()
 
 
@@ -130,7 +130,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], column: st
     """documents with the score in a further column, whose name must be free."""
     inner = documents.select(F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(documents.columns) if c != "text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema) + ", score double"
-    out = inner.mapInArrow(_scorer(*model, inner.columns), schema)
+    out = inner.transform(bounded).mapInArrow(_scorer(*model, inner.columns), schema)
     return out.select(*(F.col("text" if c == "text" else f"_c{i}").alias(c) for i, c in enumerate(documents.columns)), F.col("score").alias(column))
 
 
