@@ -3,15 +3,18 @@
 A page is read into a tree of elements. The trees of one host's pages are merged: nodes are the same if their chains
 of tags and classes are. Each merged node has two measures, both from 0 to 1 over the pages that have it: of
 presentation, the entropy of the sequences of children that it is shown with, and of content, the entropy of its
-texts. A node that many pages have and that looks and reads the same on nearly all is a branch of low importance,
-and it is cut from each page that has no element marked as the article. Branches whose tag, class or role says that
-they are menus, adverts and the like are of no importance anywhere.
+texts. A node that many pages have and that looks and reads the same on nearly all is of low importance, and its text
+is cut from each page, within an element marked as the article too; so are rare nodes in a branch that holds nothing
+of importance. Nodes that many pages have with differing texts stay, outside such elements too. The mark decides only
+for nodes that too few pages have to be judged. Branches whose tag, class or role says that they are menus, adverts
+and the like are of no importance anywhere; an id says so only if it is nothing but such words, a heading's never.
 
-Only counts of (host, node, content) leave the mappers, summed before the shuffle; a host's list of low nodes is small,
+Only counts of (host, node, content) leave the mappers, summed before the shuffle; a host's list of judged nodes is small,
 and joined to its pages (Spark broadcasts it where its size is known to allow it, and splits a hot host else).
 
-Defined results: a null or empty page has an empty text; a page without a host is judged by itself; of a page with
-`article` or `main` elements only what is in them counts; repeated pages give the same text each, and count as pages
+Defined results: a null or empty page has an empty text; a page without a host is judged by itself; of the nodes
+that can't be judged only those in `article` or `main` elements count, if these hold half of the page's text or more
+(a smaller one is a teaser or a card); repeated pages give the same text each, and count as pages
 of their host each; malformed markup is read as browsers do in the main points (implied and missing end tags).
 """
 
@@ -19,9 +22,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +59,9 @@ NOISE_TAGS = frozenset("nav aside footer form script style noscript template ifr
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices alert pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Of these, the ones that a section's id, mostly the slug of its heading, is taken to mean.
+SECTION_WORDS = frozenset("breadcrumb breadcrumbs commentlist comments disqus masthead menu nav navbar pager pagination respond sidebar toolbar topbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 ARTICLE = frozenset(["article", "main"])
 
@@ -75,7 +81,10 @@ def _open(tag: str, attributes: str, parent: _Element) -> _Element:
         classes = sorted(found.get("class", "").lower().split())
         if classes:
             name += "." + ".".join(classes)
-        words = {w for k in ("class", "id") for w in _TOKEN.findall(found.get(k, "").lower())}
+        words = set(_TOKEN.findall(found.get("class", "").lower()))
+        slug = set(_TOKEN.findall(found.get("id", "").lower()))
+        if tag not in HEADINGS and slug <= (SECTION_WORDS if tag == "section" else NOISE_WORDS):
+            words |= slug
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower())
         structural = tag in ARTICLE or tag in ("html", "body")
         noise = noise or bool(hidden) or found.get("role", "").lower() in NOISE_ROLES or not structural and bool(words & NOISE_WORDS)
@@ -167,21 +176,21 @@ def blocks(html: str, elements: list[_Element] | None = None) -> list[tuple[str,
     return out
 
 
-def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """Blocks of the article, one a line; low: merged nodes of the page's host that are of low importance."""
-    found = blocks(html or "")
-    if any(main for _, noise, main, _ in found if not noise):
-        return "\n".join(t for _, noise, main, t in found if main and not noise)
-    return "\n".join(t for node, noise, _, t in found if not noise and not _under(node, low))
+def main_text(html: str | None, low: frozenset[str] | set[str] = frozenset(), high: frozenset[str] | set[str] = frozenset()) -> str:
+    """Blocks of importance, one a line; low, high: merged nodes of the page's host that are judged, of low importance and not."""
+    found = [(node, main, t) for node, noise, main, t in blocks(html or "") if not noise]
+    if low:
+        branches = low - {up for node in high for up in _above(node)}
+        found = [x for x in found if x[0] in high or x[0] not in low and branches.isdisjoint(_above(x[0]))]
+    marked = sum(len(t) for _, main, t in found if main)
+    trusted = 2 * marked >= sum(len(t) for _, _, t in found)
+    return "\n".join(t for node, main, t in found if main or not marked or not trusted or node in high)
 
 
-def _under(node: str, low: frozenset[str] | set[str]) -> bool:
-    """Whether a node or one that it is in is low."""
-    while node and low:
-        if node in low:
-            return True
-        node = node.rpartition("/")[0]
-    return False
+def _above(node: str) -> Iterator[str]:
+    """The nodes that a node is in."""
+    while node := node.rpartition("/")[0]:
+        yield node
 
 
 def host_of(url: Column) -> Column:
@@ -196,12 +205,12 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 elements: list[_Element] = []
                 texts: dict[str, list[str]] = {}
-                for node, noise, main, text in blocks(html or "", elements):
-                    if not noise and not main:
+                for node, noise, _, text in blocks(html or "", elements):
+                    if not noise:
                         texts.setdefault(node, []).append(text)
                 shown: dict[str, list[str]] = {}
                 for e in elements:
-                    if not e.noise and not e.main and e.tag not in ("html", "body"):
+                    if not e.noise and e.tag not in ("html", "body"):
                         shown.setdefault(e.node, []).append(" ".join(e.children))
                 for kind, each in ((0, shown), (1, texts)):
                     for node, what in each.items():
@@ -214,12 +223,11 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hash_of(text: str) -> int:
-    w = W.split(pa.array([text.replace(" ", "\x01").replace("\n", "\x02")], pa.string()))
-    return int(W.hashes(w)[0].astype(np.int64)) if len(w) else 0
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def low_nodes(pages: DataFrame) -> DataFrame:
-    """host and its nodes of low importance; pages has host and html."""
+    """host, its nodes of low importance, and high, its other nodes with text; nodes on too few pages are in neither. pages has host and html."""
     seen = pages.where("host <> ''").select("host", "html").transform(bounded).mapInArrow(_seen, "host string, node string, kind int, what long, pages long")
     seen = seen.groupBy("host", "node", "kind", "what").agg(F.sum("pages").alias("c"))
     both = seen.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
@@ -227,19 +235,19 @@ def low_nodes(pages: DataFrame) -> DataFrame:
     entropy = (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")
     judged = both.where(F.col("m") >= MIN_PAGES).withColumn("entropy", entropy)
     merged = judged.groupBy("host", "node").agg(F.max("entropy").alias("importance"), F.max("kind").alias("has_text"))
-    low = merged.where((F.col("importance") < LOW) & (F.col("has_text") == 1))
-    return low.groupBy("host").agg(F.collect_list("node").alias("low"))
+    is_low = F.col("importance") < LOW
+    return merged.where("has_text = 1").groupBy("host").agg(F.collect_list(F.when(is_low, F.col("node"))).alias("low"), F.collect_list(F.when(~is_low, F.col("node"))).alias("high"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(batch, "html"):
-            sets: dict[str, frozenset] = {}
+            sets: dict[str, tuple[frozenset, frozenset]] = {}
             texts = []
-            for host, html, low in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), part.column("low"), strict=True):
+            for host, html, low, high in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), part.column("low"), part.column("high"), strict=True):
                 if host not in sets:
-                    sets[host] = frozenset(low.as_py() or ())
-                texts.append(main_text(html, sets[host]))
+                    sets[host] = frozenset(low.as_py() or ()), frozenset(high.as_py() or ())
+                texts.append(main_text(html, *sets[host]))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -247,7 +255,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each page."""
     known = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     low = materialize(low_nodes(known), "low-nodes")
-    return known.join(low, "host", "left").select("page_id", "url", "html", "host", "low").transform(bounded).mapInArrow(_extract, "page_id long, url string, text string")
+    return known.join(low, "host", "left").select("page_id", "url", "html", "host", "low", "high").transform(bounded).mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

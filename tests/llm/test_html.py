@@ -54,3 +54,28 @@ def test_style_tree(spark):
 def test_empty(spark):
     _, df = pages(spark)
     assert H.extract(df.where("false")).count() == 0
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", html) for i, html in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return [r.text for r in H.extract(df).orderBy("page_id").collect()]
+
+
+def test_importance_decides_in_and_around_the_article(spark):
+    """Boilerplate of neutral classes in the article goes, body text outside of a small article stays."""
+    inside = [f"<body><article><div class=lead>Read our story</div><p>body {i} {i * i}</p><div class=tail>All rights</div></article></body>" for i in range(8)]
+    assert extracted(spark, inside) == [f"body {i} {i * i}" for i in range(8)]
+    around = [f"<body><article class=card>teaser {i}</article><div class=story>the long body of page {i}</div><div class=tail>All rights</div></body>" for i in range(8)]
+    assert extracted(spark, around) == [f"teaser {i}\nthe long body of page {i}" for i in range(8)]
+    assert extracted(spark, around[:1]) == ["teaser 0\nthe long body of page 0\nAll rights"]
+
+
+def test_constant_label_does_not_cut_what_is_under_it(spark):
+    pages = [f"<body><article>By us<p>body {i}</p></article></body>" for i in range(8)]
+    pages[3] = pages[3].replace("</article>", "<blockquote>once</blockquote></article>")
+    assert extracted(spark, pages) == [f"body {i}" + "\nonce" * (i == 3) for i in range(8)]
+
+
+def test_ids_that_are_slugs():
+    assert H.main_text('<article><h2 id="related-work">Related work</h2><p>a</p><h2 id="comments">C</h2><section id="cookie-notice-law"><p>b</p></section><section id=advertising><p>c</p></section></article>') == "Related work\na\nC\nb\nc"
+    assert H.main_text('<p>a</p><div id="cookie-banner">b</div><section id=comments>c</section>') == "a"
