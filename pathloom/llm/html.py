@@ -9,13 +9,14 @@ of importance. Nodes that many pages have with differing texts stay, outside suc
 for nodes that too few pages have to be judged. Branches whose tag, class or role says that they are menus, adverts
 and the like are of no importance anywhere; an id says so only if it is nothing but such words, a heading's never.
 
-Only counts of (host, node, content) leave the mappers, summed before the shuffle; a host's list of judged nodes is small,
+Pages count once for each host that has them, however often they are repeated: those are the same whose nodes, children
+and texts are, whatever their scripts, comments and adverts hold. Only hashes of contents leave the mappers, once for
+each distinct page of a slice; counts of (host, node, content) are summed before the shuffle; a host's list of judged nodes is small,
 and joined to its pages (Spark broadcasts it where its size is known to allow it, and splits a hot host else).
 
 Defined results: a null or empty page has an empty text; a page without a host is judged by itself; of the nodes
 that can't be judged only those in `article` or `main` elements count, if these hold half of the page's text or more
-(a smaller one is a teaser or a card); repeated pages give the same text each, and count as pages
-of their host each; malformed markup is read as browsers do in the main points (implied and missing end tags).
+(a smaller one is a teaser or a card); repeated pages give the same text each; malformed markup is read as browsers do in the main points (implied and missing end tags).
 """
 
 from __future__ import annotations
@@ -198,10 +199,11 @@ def host_of(url: Column) -> Column:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, kind, what, pages), summed over each slice; kind 0: children, 1: text."""
+    """(host, page, seen), once for each distinct page of a slice; seen: (node, kind, what) of its nodes, kind 0: children, 1: text; page: hash of these."""
+    kind_of_seen = pa.list_(pa.struct([("node", pa.string()), ("kind", pa.int32()), ("what", pa.int64())]))
     for batch in batches:
         for part in W.slices(batch, "html"):
-            counts: dict[tuple, int] = {}
+            found: dict[tuple, list[tuple]] = {}
             for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 elements: list[_Element] = []
                 texts: dict[str, list[str]] = {}
@@ -212,14 +214,13 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for e in elements:
                     if not e.noise and e.tag not in ("html", "body"):
                         shown.setdefault(e.node, []).append(" ".join(e.children))
-                for kind, each in ((0, shown), (1, texts)):
-                    for node, what in each.items():
-                        key = (host, node, kind, hash_of("\x00".join(what)))
-                        counts[key] = counts.get(key, 0) + 1
-            if counts:
-                host, node, kind, what = zip(*counts, strict=True)
-                arrays = [pa.array(host, pa.string()), pa.array(node, pa.string()), pa.array(kind, pa.int32()), pa.array(what, pa.int64()), pa.array(list(counts.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["host", "node", "kind", "what", "pages"])
+                seen = sorted((node, kind, hash_of("\x00".join(what))) for kind, each in ((0, shown), (1, texts)) for node, what in each.items())
+                if seen:
+                    found[host, hash_of(repr(seen))] = seen
+            if found:
+                host, page = zip(*found, strict=True)
+                seen = [[dict(zip(("node", "kind", "what"), x, strict=True)) for x in each] for each in found.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(seen, kind_of_seen)], names=["host", "page", "seen"])
 
 
 def hash_of(text: str) -> int:
@@ -228,8 +229,9 @@ def hash_of(text: str) -> int:
 
 def low_nodes(pages: DataFrame) -> DataFrame:
     """host, its nodes of low importance, and high, its other nodes with text; nodes on too few pages are in neither. pages has host and html."""
-    seen = pages.where("host <> ''").select("host", "html").transform(bounded).mapInArrow(_seen, "host string, node string, kind int, what long, pages long")
-    seen = seen.groupBy("host", "node", "kind", "what").agg(F.sum("pages").alias("c"))
+    seen = pages.where("host <> ''").select("host", "html").transform(bounded).mapInArrow(_seen, "host string, page long, seen array<struct<node: string, kind: int, what: long>>")
+    seen = seen.groupBy("host", "page").agg(F.first("seen").alias("seen")).select("host", F.inline("seen"))
+    seen = seen.groupBy("host", "node", "kind", "what").agg(F.count("*").alias("c"))
     both = seen.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     # Entropy of counts c that sum to m, as a share of its maximum log m.
     entropy = (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")

@@ -79,3 +79,11 @@ def test_constant_label_does_not_cut_what_is_under_it(spark):
 def test_ids_that_are_slugs():
     assert H.main_text('<article><h2 id="related-work">Related work</h2><p>a</p><h2 id="comments">C</h2><section id="cookie-notice-law"><p>b</p></section><section id=advertising><p>c</p></section></article>') == "Related work\na\nC\nb\nc"
     assert H.main_text('<p>a</p><div id="cookie-banner">b</div><section id=comments>c</section>') == "a"
+
+
+def test_copies_count_once(spark):
+    """Copies of a page, whatever their scripts and comments, don't make its text low, nor that of the host's other pages."""
+    page = "<body><script>n({})</script><!-- {} --><div class=top>Always the same</div><div class=text>body {}</div></body>"
+    mostly = [page.format(i, i, max(0, i - 30)) for i in range(40)]
+    assert extracted(spark, mostly) == [f"body {max(0, i - 30)}" for i in range(40)]
+    assert extracted(spark, mostly[:30]) == ["Always the same\nbody 0"] * 30
