@@ -1,12 +1,17 @@
 """License scans by patience alignment.
 
-A text is aligned with a template where it has words of the template that are rare enough to seed a search. Words
+A text is aligned with a template where it has words of the template that seed a search: the long ones, and so many
+others that no alignment that suffices can lack them all. Words
 that are in both once each are anchors; the longest increasing run of them is kept, and the gaps between anchors are
 aligned in the same way, with common heads and tails where no word is unique to both. The share of the template's
-words that is aligned is its coverage.
+words that is aligned is its coverage. Where that doesn't suffice, the longest common subsequence of window and
+template decides.
 
 Seeds only choose where to look: all places of all seeds are looked at, in windows around them, so long texts cost
-no more than their seeds. Every document has one row, of its best template.
+no more than their seeds. A text that has enough of a template's words, but not in one window, is searched for a notice
+with something in it, a page's header for instance: one of LONG words or more may have insertions of as many words as it has
+and INSERTED more in all; a shorter one, besides a word here and there, one insertion of up to INSERTED words, with two
+aligned words at least on either side. Every document has one row, of its best template.
 
 Defined results: a null or empty text, and one without seeds, has no license and coverage 0; of templates that are
 covered enough the one with most words aligned wins, else the one with the greatest coverage, of equals the earlier
@@ -32,6 +37,12 @@ from pathloom.llm._shared import bounded, table
 LICENSED = 0.8
 #: Words of so many letters are seeds.
 SEED = 6
+#: Words that are seeds only if others don't do.
+COMMON = frozenset("a an and any are as at be by for from in is it not of on or that the this to under with you your work".split())
+#: From so many words on a notice isn't put together by chance from words far apart.
+LONG = 20
+#: Words that may stand within a notice; within a long one as many more as it has.
+INSERTED = 100
 
 #: Names and texts of licenses and notices (fixed values).
 TEMPLATES = (
@@ -93,18 +104,78 @@ def align(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _rows(a: Sequence[str], marks: dict[str, int], n: int) -> Iterator[int]:
+    """After each word of a, bit j is unset if one more of the n words is common up to j (Hyyrö's bit vectors)."""
+    full = row = (1 << n) - 1
+    for w in a:
+        if m := marks.get(w, 0):
+            row = (row + (row & m) | row - (row & m)) & full
+        yield row
+
+
+def marks_of(words: Sequence[str]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for j, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << j
+    return out
+
+
+def common(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
+    """The longest common subsequence, as align() gives pairs."""
+    n = len(b)
+    rows = [(1 << n) - 1, *_rows(a, marks_of(b), n)]
+    count = lambda i, j: j - (rows[i] & (1 << j) - 1).bit_count()
+    out, i, j = [], len(a), n
+    while i and j:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+        elif count(i - 1, j) == count(i, j):
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 class Template:
     def __init__(self, name: str, text: str) -> None:
         self.name, self.words = name, words_of(text)
-        self.seeds = {w for w in self.words if len(w) >= SEED}
+        n = len(self.words)
+        self.need = next((k for k in range(n) if k / n >= LICENSED), n)
+        self.counts, self.marks = Counter(self.words), marks_of(self.words)
+        self.at: dict[str, list[int]] = {}
+        for j, w in enumerate(self.words):
+            self.at.setdefault(w, []).append(j)
+        # At most n - need places of the template are missing, so of more places one has its word in the text.
+        self.seeds: set[str] = set()
+        places = 0
+        for w in sorted(self.counts, key=lambda w: (len(w) < SEED, w in COMMON, -len(w), w)):
+            if len(w) >= SEED or places <= n - self.need:
+                self.seeds.add(w)
+                places += self.counts[w]
+
+    def may_have(self, words: Sequence[str]) -> bool:
+        """Whether so many of the template's words are there, in whatever order."""
+        there = Counter(w for w in words if w in self.counts)
+        return sum(min(c, there[w]) for w, c in self.counts.items()) >= self.need
 
     def best(self, words: list[str], places: dict[str, list[int]]) -> tuple[int, int, int]:
         """(words aligned, first, after the last) of the best place in the text."""
-        n = len(self.words)
-        own = {s: self.words.index(s) for s in self.seeds if s in places}
         found = (0, 0, 0)
-        # A window around each place that a seed puts the template's beginning at; close ones are one.
-        begins = sorted({p - at for s, at in own.items() for p in places[s]})
+        for place in self.tight(words, places):
+            if place[0] > found[0]:
+                found = place
+                if place[0] == len(self.words):
+                    break
+        if found[0] < self.need:
+            found = max([found, *self.wide(words, places)], key=lambda x: x[0])
+        return found
+
+    def tight(self, words: list[str], places: dict[str, list[int]]) -> Iterator[tuple[int, int, int]]:
+        """The place in a window around each that a seed puts the template's beginning at; close ones are one."""
+        n = len(self.words)
+        begins = sorted({p - at for s in self.seeds if s in places for at in self.at[s] for p in places[s]})
+        enough = bool(begins) and self.may_have(words)
         last = None
         for begin in begins:
             if last is not None and begin - last < max(2, n // 4):
@@ -112,11 +183,84 @@ class Template:
             last = begin
             lo, hi = max(0, begin - n // 4 - 2), begin + n + n // 4 + 2
             pairs = align(words[lo:hi], self.words)
-            if len(pairs) > found[0]:
-                found = (len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1)
-                if len(pairs) == n:
-                    break
-        return found
+            if enough and len(pairs) < self.need and self.may_have(words[lo:hi]) and len(whole := common(words[lo:hi], self.words)) >= self.need:
+                pairs = whole
+            if pairs:
+                yield len(pairs), lo + pairs[0][0], lo + pairs[-1][0] + 1
+
+    def wide(self, words: list[str], places: dict[str, list[int]]) -> Iterator[tuple[int, int, int]]:
+        """Places that suffice, with something inserted, from the left to the right; they don't overlap."""
+        if self.seeds.isdisjoint(places) or not self.may_have(words):
+            return
+        own = [(i, w) for i, w in enumerate(words) if w in self.counts]
+        if len(self.words) >= LONG:
+            yield from self._spread(own)
+        else:
+            yield from self._parted(own, sorted(p for s in self.seeds for p in places.get(s, ())))
+
+    def _spread(self, own: list[tuple[int, str]]) -> Iterator[tuple[int, int, int]]:
+        n = len(self.words)
+        most = 2 * n + INSERTED
+        back, index = marks_of(self.words[::-1]), [i for i, _ in own]
+        begin = 0
+        while begin < len(own):
+            # All places of `most` words that begin in the first half of the block are in it.
+            block = [w for _, w in own[begin : bisect_left(index, index[begin] + 2 * most)]]
+            ends = (k for k, row in enumerate(_rows(block, self.marks, n)) if n - row.bit_count() >= self.need)
+            # The first end, and for it the last begin, between which enough is common.
+            end = next(ends, None) if self.may_have(block) else None
+            if end is None:
+                begin = bisect_left(index, index[begin] + most)
+                continue
+            size = next(k for k, row in enumerate(_rows(block[end::-1], back, n)) if n - row.bit_count() >= self.need)
+            first, end = begin + end - size, begin + end
+            if index[end] - index[first] >= most:
+                begin = first + 1
+                continue
+            # The notice's rest is near.
+            x = max(begin, bisect_left(index, index[first] - n // 4 - 2))
+            pairs = common([w for _, w in own[x : bisect_left(index, index[end] + n // 4 + 3)]], self.words)
+            yield len(pairs), index[x + pairs[0][0]], index[x + pairs[-1][0]] + 1
+            begin = x + pairs[-1][0] + 1
+
+    def _parted(self, own: list[tuple[int, str]], seeds: list[int]) -> Iterator[tuple[int, int, int]]:
+        n = len(self.words)
+        reach = n + n // 4 + 2 + INSERTED
+        index = [i for i, _ in own]
+        done = after_block = 0
+        for p in seeds:
+            if p < max(done, after_block):
+                continue
+            # All chains with a seed from p to p + reach are in here.
+            near = own[bisect_left(index, max(done, p - reach)) : bisect_left(index, p + 2 * reach)]
+            after_block = p + reach
+            if not self.may_have([w for _, w in near]):
+                continue
+            pairs = [(i, j) for i, w in near for j in self.at[w]]
+            # Of chains that end with a pair: (words, first place), without an insertion, with one word after it, with more.
+            chains: list[list[tuple[int, int]]] = []
+            for x, (i, j) in enumerate(pairs):
+                best = [(1, -i), (0, 0), (0, 0)]
+                for y in range(x - 1, -1, -1):
+                    p0, q0 = pairs[y]
+                    if i - p0 > n + INSERTED:
+                        break
+                    if p0 == i or q0 >= j:
+                        continue
+                    before, more = chains[y], (i - p0) - (j - q0)
+                    if more <= n // 4 + 2:
+                        after = max(before[1], before[2])
+                        steps = [(0, before[0]), (2, after)]
+                    else:
+                        steps = [(1, before[0])] if more <= INSERTED and before[0][0] >= 2 else []
+                    for k, (c, first) in steps:
+                        if c:
+                            best[k] = max(best[k], (c + 1, first))
+                chains.append(best)
+            found = max(((c, first, -i) for (i, _), chain in zip(pairs, chains, strict=True) for c, first in (chain[0], chain[2])), default=(0, 0, 0))
+            if found[0] >= self.need:
+                done, after_block = 1 - found[2], 0
+                yield found[0], -found[1], done
 
 
 def scan(text: str, templates: Sequence[Template]) -> tuple[str | None, float, int, int, int]:

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -60,3 +61,53 @@ def test_table(spark, corpus, documents):
     assert L.license_scan(df.where("false")).count() == 0
     with pytest.raises(ValueError):
         L.license_scan(df, [])
+
+
+KNOWN = [L.Template(*t) for t in L.TEMPLATES]
+
+
+@given(st.lists(st.sampled_from("abcd")), st.lists(st.sampled_from("abcd")))
+def test_common_is_longest(a, b):
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        size[i + 1][j + 1] = size[i][j] + 1 if a[i] == b[j] else max(size[i][j + 1], size[i + 1][j])
+    pairs = L.common(a, b)
+    assert len(pairs) == size[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+    assert all(x < p and y < q for (x, y), (p, q) in zip(pairs, pairs[1:], strict=False))
+
+
+@pytest.mark.parametrize("t", KNOWN, ids=lambda t: t.name)
+def test_a_fifth_may_be_other_words(t):
+    """Each set of replaced words that leaves enough, seeds too; of long templates seeds first, and many at random."""
+    n, rng = len(t.words), random.Random(t.name)
+    most = n - t.need
+    if n < L.LONG:
+        gone = [x for k in range(most + 1) for x in itertools.combinations(range(n), k)]
+    else:
+        by_seed = sorted(range(n), key=lambda j: (t.words[j] not in t.seeds, j))
+        gone = [by_seed[:most], by_seed[-most:], *(rng.sample(range(n), most) for _ in range(100))]
+    for x in gone:
+        text = " ".join(["word"] * 30 + ["word" if j in x else w for j, w in enumerate(t.words)] + ["word"] * 30)
+        found = L.scan(text, [t])
+        assert found[0] == t.name and found[2] == n - len(x), x
+
+
+@pytest.mark.parametrize("t", KNOWN, ids=lambda t: t.name)
+def test_insertions(t):
+    n = len(t.words)
+    for at in range(2, n - 1):
+        text = " ".join(["x"] * 9 + t.words[:at] + ["page"] * 60 + t.words[at:] + ["x"] * 9)
+        found = L.scan(text, [t])
+        assert found[1] >= L.LICENSED and 9 <= found[3] < found[4] <= 9 + n + 60, at
+        if n < L.LONG and max(at, n - at) < t.need:
+            assert found[1:] == (1.0, n, 9, 9 + n + 60), at
+    if n >= L.LONG:
+        thrice = " ".join(w + " page" * 40 * (j in (n // 4, n // 2, 3 * n // 4)) for j, w in enumerate(t.words))
+        assert L.scan(f"{thrice} {'x ' * 500} {t.words[0]}", [t]) == (t.name, 1.0, n, 0, n + 120)
+    far = " ".join(f"{w} {'x ' * 40}" for w in t.words)
+    assert L.scan(far, [t])[1] < L.LICENSED
+
+
+@pytest.mark.parametrize("verb", ["Published", "Available", "Released"])
+def test_other_verbs(verb):
+    assert L.scan(f"{verb} under CC BY-NC 4.0", KNOWN)[:3] == ("CC-BY-NC-4.0", 6 / 7, 6)
