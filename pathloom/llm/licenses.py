@@ -11,7 +11,8 @@ Seeds only choose where to look: all places of all seeds are looked at, in windo
 no more than their seeds. A text that has enough of a template's words, but not in one window, is searched for a notice
 with something in it, a page's header for instance: one of LONG words or more may have insertions of as many words as it has
 and INSERTED more in all; a shorter one, besides a word here and there, one insertion of up to INSERTED words, with two
-aligned words at least on either side. Every document has one row, of its best template.
+aligned words at least on either side. Every document has one row, of its best template, with a list
+of all places of all templates that suffice.
 
 Defined results: a null or empty text, and one without seeds, has no license and coverage 0; of templates that are
 covered enough the one with most words aligned wins, else the one with the greatest coverage, of equals the earlier
@@ -171,6 +172,30 @@ class Template:
             found = max([found, *self.wide(words, places)], key=lambda x: x[0])
         return found
 
+    def all(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(words aligned, first, after the last) of all places that suffice, from the left to the right; they don't overlap."""
+        out, stretches = [], [(0, len(words))]
+        while stretches:
+            begin, end = stretches.pop()
+            part = words[begin:end]
+            if not self.may_have(part):
+                continue
+            places = places_of(part, self.seeds)
+            found = [x for x in self.tight(part, places) if x[0] >= self.need]
+            taken: list[tuple[int, int, int]] = []  # (first, after the last, words aligned), ascending
+            for n, lo, hi in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+                at = bisect_left(taken, (lo,))
+                if (at == 0 or taken[at - 1][1] <= lo) and (at == len(taken) or hi <= taken[at][0]):
+                    taken.insert(at, (lo, hi, n))
+            if taken:
+                # What is between these is looked at by itself.
+                edges = [0, *(x for lo, hi, _ in taken for x in (lo, hi)), len(part)]
+                stretches.extend((begin + a, begin + b) for a, b in zip(edges[::2], edges[1::2], strict=True))
+            else:
+                taken = [(lo, hi, n) for n, lo, hi in self.wide(part, places)]
+            out.extend((n, begin + lo, begin + hi) for lo, hi, n in taken)
+        return sorted(out, key=lambda x: x[1])
+
     def tight(self, words: list[str], places: dict[str, list[int]]) -> Iterator[tuple[int, int, int]]:
         """The place in a window around each that a seed puts the template's beginning at; close ones are one."""
         n = len(self.words)
@@ -263,14 +288,18 @@ class Template:
                 yield found[0], -found[1], done
 
 
-def scan(text: str, templates: Sequence[Template]) -> tuple[str | None, float, int, int, int]:
-    """(template, coverage, words aligned, first word, after the last word) of the best template."""
-    words = words_of(text)
-    wanted = set().union(*(t.seeds for t in templates))
+def places_of(words: Sequence[str], wanted: set[str]) -> dict[str, list[int]]:
     places: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         if w in wanted:
             places.setdefault(w, []).append(i)
+    return places
+
+
+def scan(text: str, templates: Sequence[Template]) -> tuple[str | None, float, int, int, int]:
+    """(template, coverage, words aligned, first word, after the last word) of the best template."""
+    words = words_of(text)
+    places = places_of(words, set().union(*(t.seeds for t in templates)))
     top: tuple = (None, 0.0, 0, 0, 0)
     for t in templates:
         n, lo, hi = t.best(words, places)
@@ -282,6 +311,16 @@ def scan(text: str, templates: Sequence[Template]) -> tuple[str | None, float, i
     return top
 
 
+def notices(text: str, templates: Sequence[Template]) -> list[tuple[str, float, int, int, int]]:
+    """What scan() gives, of all places of all templates that suffice, in the text's order; of different templates they may overlap."""
+    words = words_of(text)
+    found = [(t.name, n / len(t.words), n, lo, hi) for t in templates for n, lo, hi in t.all(words)]
+    return sorted(found, key=lambda x: (x[3], -x[4]))
+
+
+_NOTICE = ("license", "coverage", "n_matched", "first_word", "last_word")
+
+
 def _scanner(templates: Sequence[tuple[str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Template(*t) for t in templates]
@@ -294,18 +333,19 @@ def _scanner(templates: Sequence[tuple[str, str]]):
                 some = np.zeros(part.num_rows, bool)
                 some[w.owner()[np.isin(W.hashes(w), wanted)]] = True
                 out = [scan(t, known) if hit else (None, 0.0, 0, 0, 0) for t, hit in zip(part.column("text").to_pylist(), some.tolist(), strict=True)]
+                listed = [[dict(zip(_NOTICE, x, strict=True)) for x in notices(t, known)] if top[1] >= LICENSED else [] for t, top in zip(part.column("text").to_pylist(), out, strict=True)]
                 kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 found = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found], names=["doc_id", "license", "coverage", "n_matched", "first_word", "last_word"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found, pa.array(listed, pa.list_(pa.struct(list(zip(_NOTICE, kinds, strict=True)))))], names=["doc_id", *_NOTICE, "notices"])
 
     return run
 
 
 def license_scan(documents: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """doc_id, license, coverage, n_matched, and the words from first_word up to last_word that it covers, of each document."""
+    """doc_id, license, coverage, n_matched, and the words from first_word up to last_word that it covers, of each document; notices: the same of all that suffice."""
     if not templates:
         raise ValueError("no templates")
-    return documents.select("doc_id", "text").transform(bounded).mapInArrow(_scanner(templates), "doc_id long, license string, coverage double, n_matched long, first_word long, last_word long")
+    return documents.select("doc_id", "text").transform(bounded).mapInArrow(_scanner(templates), "doc_id long, license string, coverage double, n_matched long, first_word long, last_word long, notices array<struct<license: string, coverage: double, n_matched: long, first_word: long, last_word: long>>")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,20 @@ def test_insertions(t):
 @pytest.mark.parametrize("verb", ["Published", "Available", "Released"])
 def test_other_verbs(verb):
     assert L.scan(f"{verb} under CC BY-NC 4.0", KNOWN)[:3] == ("CC-BY-NC-4.0", 6 / 7, 6)
+
+
+def test_all_notices(spark):
+    mit, cc = "Released under the MIT License.", "Licensed under CC BY-NC 4.0."
+    apache = dict(L.TEMPLATES)["Apache-2.0-notice"]
+    parted = apache.replace(" Unless", f" {'page ' * 90}Unless")
+    rows = [(1, f"{mit} x y {cc} z {mit}"), (2, f"{apache} {cc}"), (3, f"{mit * 3}"), (4, f"{apache} x {parted} x {apache}"), (5, "none"), (6, None)]
+    out = {r.doc_id: r for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = {d: [(x.license, x.first_word, x.last_word) for x in r.notices] for d, r in out.items()}
+    n = len(L.words_of(apache))
+    assert spans[1] == [("MIT", 0, 5), ("CC-BY-NC-4.0", 7, 14), ("MIT", 15, 20)]
+    assert spans[2] == [("Apache-2.0-notice", 0, n), ("Apache-2.0", 0, 8), ("CC-BY-NC-4.0", n, n + 7)]
+    assert spans[3] == [("MIT", 0, 5), ("MIT", 5, 10), ("MIT", 10, 15)]
+    assert [x for x in spans[4] if x[0] == "Apache-2.0-notice"] == [("Apache-2.0-notice", a, b) for a, b in ((0, n), (n + 1, 2 * n + 91), (2 * n + 92, 3 * n + 92))]
+    assert spans[5] == spans[6] == []
+    for r in out.values():
+        assert not r.notices or tuple(r)[1:6] in [tuple(x) for x in r.notices]
