@@ -8,6 +8,9 @@ successors until one is compatible; if none is, a bin opens. Pieces come longest
 Pieces are dealt by hash to groups of about GROUP, each packed by itself: a task holds one group at a time, and
 a hot source or cluster is spread over all groups like any other rows.
 
+Duplicate clusters are the components of near copies in the registered query; pack() by itself takes exact copies for
+them, or what it is given.
+
 Defined results: a null or empty text is one piece of no words; a null source or cluster conflicts with nothing;
 repeated rows are pieces of their own (and of one cluster); no rows, no bins. Nothing is dropped.
 """
@@ -22,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.llm import near
 from pathloom.llm._shared import bounded, materialize, partitions, table
+from pathloom.llm.graph import components
 
 CAPACITY = 2048
 GROUP = 2048
@@ -86,10 +91,11 @@ def _pack_groups(capacity: int):
     return run
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, group: int = GROUP) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None, group: int = GROUP, clusters: DataFrame | None = None) -> DataFrame:
     """doc_id, piece, n_words, bin_id and start (in words) of each piece.
 
-    cluster: what tells duplicate clusters, a long; else exact copies are one.
+    cluster: what tells duplicate clusters, a long; else exact copies are one. clusters: node and component of the ids (see
+    known_ids) whose cluster is not just their own.
     """
     if capacity < 1:
         raise ValueError("a bin holds at least one word")
@@ -97,6 +103,9 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None
     cluster = F.xxhash64("text") if cluster is None else cluster
     cluster = F.when(F.col("text").isNotNull() & (F.col("text") != ""), cluster)
     whole = documents.select("doc_id", "source", cluster.alias("cluster"), F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("n"))
+    if clusters is not None:
+        own = F.coalesce("doc_id", "h")
+        whole = whole.join(clusters.select("node", "component"), own == F.col("node"), "left").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("component", own))).drop("node", "component")
     last = F.greatest(F.ceil(F.col("n") / capacity).cast("int") - 1, F.lit(0))
     pieces = whole.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     pieces = materialize(pieces.withColumn("size", F.least(F.col("n") - F.col("piece").cast("long") * capacity, F.lit(capacity)).cast("long")).drop("n"), "pieces")
@@ -106,5 +115,12 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None
     return dealt.select("group", "doc_id", "piece", "source", "cluster", "size").transform(bounded).mapInArrow(_pack_groups(capacity), SCHEMA)
 
 
+def known_ids(documents: DataFrame) -> DataFrame:
+    """documents, with a hash of the text as the id of those without one."""
+    return documents.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    _, links = near.near_links(known_ids(documents))
+    return pack(documents, clusters=components(links))

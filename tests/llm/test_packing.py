@@ -49,3 +49,21 @@ def test_empty(empty):
     assert P.pack(empty).count() == 0
     with pytest.raises(ValueError):
         P.pack(empty, 0)
+
+
+def test_near_copies_are_kept_apart(spark, tmp_path):
+    """In the registered query, also from those without an id."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(30):
+        near = list(words)
+        near[rng.randrange(200)] = f"other{i}"
+        rows.append((i if i < 25 else None, " ".join(near), f"s{i}"))
+    rows += [(100 + i, f"text {i} " * 20, f"t{i}") for i in range(30)] + [(None, " ".join(words), "u"), (200, " ".join(words), "v")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = P.op5_best_fit_packing(spark, f"file://{tmp_path}").collect()
+    assert len(out) == len(rows)
+    # The copies are the pieces of 200 words.
+    bins = [r.bin_id for r in out if r.n_words == 200]
+    assert len(bins) == 32 == len(set(bins))
