@@ -7,7 +7,7 @@ the bound is a slice of its own), so memory follows the slice, not the batch.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,11 +15,31 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 SLICE_BYTES = 4 << 20
+#: Where slices share nothing with each other, small ones do.
+SMALL_SLICE = 1 << 20
+
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def frugal(f: Mapper) -> Mapper:
+    """f, for a Python worker that lives on from task to task and gives freed memory back to the system.
+
+    Arrow takes its memory from the C library then, which hands blocks of over 1 MB back when they are freed (-3 and -1:
+    M_MMAP_THRESHOLD and M_TRIM_THRESHOLD; by default it raises these bounds to the largest block freed), and the rest at the end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.mallopt(-3, 1 << 20)
+            libc.mallopt(-1, 1 << 20)
+            pa.set_memory_pool(pa.system_memory_pool())
+        yield from f(batches)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
 
-# Python workers live on from task to task. With a fixed threshold the C library gives arrays of over 1 MB back when they
-# are freed; by default it raises the threshold to their size and keeps them. (-3: M_MMAP_THRESHOLD.)
-if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
-    _libc.mallopt(-3, 1 << 20)
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 

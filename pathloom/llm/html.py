@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import _words as W
-from pathloom.llm._shared import bounded, materialize, table
+from pathloom.llm._shared import map_batches, materialize, table
 
 #: A merged node is judged from so many pages on, and is low under this importance.
 MIN_PAGES, LOW = 5, 0.3
@@ -229,7 +229,7 @@ def hash_of(text: str) -> int:
 
 def low_nodes(pages: DataFrame) -> DataFrame:
     """host, its nodes of low importance, and high, its other nodes with text; nodes on too few pages are in neither. pages has host and html."""
-    seen = pages.where("host <> ''").select("host", "html").transform(bounded).mapInArrow(_seen, "host string, page long, seen array<struct<node: string, kind: int, what: long>>")
+    seen = pages.where("host <> ''").select("host", "html").transform(map_batches, _seen, "host string, page long, seen array<struct<node: string, kind: int, what: long>>")
     seen = seen.groupBy("host", "page").agg(F.first("seen").alias("seen")).select("host", F.inline("seen"))
     seen = seen.groupBy("host", "node", "kind", "what").agg(F.count("*").alias("c"))
     both = seen.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
@@ -257,7 +257,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each page."""
     known = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     low = materialize(low_nodes(known), "low-nodes")
-    return known.join(low, "host", "left").select("page_id", "url", "html", "host", "low", "high").transform(bounded).mapInArrow(_extract, "page_id long, url string, text string")
+    return known.join(low, "host", "left").select("page_id", "url", "html", "host", "low", "high").transform(map_batches, _extract, "page_id long, url string, text string")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import _words as W
-from pathloom.llm._shared import bounded, table
+from pathloom.llm._shared import map_batches, table
 
 #: Coverage from which a text counts as licensed.
 LICENSED = 0.8
@@ -345,7 +345,7 @@ def license_scan(documents: DataFrame, templates: Sequence[tuple[str, str]] = TE
     """doc_id, license, coverage, n_matched, and the words from first_word up to last_word that it covers, of each document; notices: the same of all that suffice."""
     if not templates:
         raise ValueError("no templates")
-    return documents.select("doc_id", "text").transform(bounded).mapInArrow(_scanner(templates), "doc_id long, license string, coverage double, n_matched long, first_word long, last_word long, notices array<struct<license: string, coverage: double, n_matched: long, first_word: long, last_word: long>>")
+    return documents.select("doc_id", "text").transform(map_batches, _scanner(templates), "doc_id long, license string, coverage double, n_matched long, first_word long, last_word long, notices array<struct<license: string, coverage: double, n_matched: long, first_word: long, last_word: long>>")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

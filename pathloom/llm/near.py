@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import _words as W
-from pathloom.llm._shared import bounded, materialize, partitions, table
+from pathloom.llm._shared import map_batches, materialize, partitions, table
 from pathloom.llm.graph import components
 
 ROWS, BANDS = 6, 40
@@ -77,7 +77,7 @@ def minima(g: np.ndarray, bounds: np.ndarray, many: int) -> np.ndarray:
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", W.SMALL_SLICE):
                 g, bounds = shingles(part.column("text"), k)
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
@@ -183,7 +183,7 @@ def _verify(k: int, percent: int):
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", W.SMALL_SLICE):
                 g, bounds = shingles(part.column("text"), k)
                 rows = zip(*(part.column(c).to_pylist() for c in ("centre", "lo", "hi", "id", "block")), strict=True)
                 for x, (centre, lo, hi, doc, block) in enumerate(rows):
@@ -200,7 +200,7 @@ def near_links(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     """Features of all rows (doc_id, n_shingles, s1, s2), and links (a, b) that connect what is alike."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
-    rows = materialize(texts.transform(bounded).mapInArrow(_features(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "minhash")
+    rows = materialize(texts.transform(map_batches, _features(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "minhash")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first"))
     same = known.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
@@ -217,7 +217,7 @@ def near_links(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("centre", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "text")
     met = met.repartition(partitions(spark), "centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
-    alike = met.transform(bounded).mapInArrow(_verify(k, percent), "a long, b long")
+    alike = met.transform(map_batches, _verify(k, percent), "a long, b long")
     return rows, materialize(alike.unionByName(same), "links")
 
 

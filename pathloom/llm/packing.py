@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import near
-from pathloom.llm._shared import bounded, materialize, partitions, table
+from pathloom.llm._shared import map_batches, materialize, partitions, table
 from pathloom.llm.graph import components
 
 CAPACITY = 2048
@@ -112,7 +112,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None
     groups = max(1, -(-pieces.count() // group))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "h", "piece"), F.lit(groups)))
     dealt = dealt.repartition(partitions(spark), "group").sortWithinPartitions("group", F.desc("size"), "doc_id", "piece", "h", "source")
-    return dealt.select("group", "doc_id", "piece", "source", "cluster", "size").transform(bounded).mapInArrow(_pack_groups(capacity), SCHEMA)
+    return dealt.select("group", "doc_id", "piece", "source", "cluster", "size").transform(map_batches, _pack_groups(capacity), SCHEMA)
 
 
 def known_ids(documents: DataFrame) -> DataFrame:

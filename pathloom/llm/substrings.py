@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.llm import _words as W
-from pathloom.llm._shared import bounded, materialize, partitions, table
+from pathloom.llm._shared import map_batches, materialize, partitions, table
 
 #: A null doc_id in order and as key.
 NULL_ID = -(1 << 63)
@@ -199,8 +200,8 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _level(keyed: DataFrame, places: Callable, window: int) -> DataFrame:
     n = partitions(keyed.sparkSession)
-    blobs = keyed.transform(bounded).mapInArrow(_emit(places, window, 2 * n), _BLOBS)
-    return blobs.repartition(n, "bucket").sortWithinPartitions("kind", "bucket").transform(bounded).mapInArrow(_resolve, _RUNS)
+    blobs = keyed.transform(map_batches, _emit(places, window, 2 * n), _BLOBS)
+    return blobs.repartition(n, "bucket").sortWithinPartitions("kind", "bucket").transform(map_batches, _resolve, _RUNS)
 
 
 def _cut(window: int, text_only: bool):
@@ -251,7 +252,7 @@ def dedup(documents: DataFrame, window: int = 20) -> DataFrame:
     keyed = keys(documents)
     runs = repeated_runs(keyed, window).groupBy("did", "tag").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     both = keyed.join(runs, ["did", "tag"], "left")
-    return both.select("tag", "text", "runs", F.nullif("did", F.lit(NULL_ID)).alias("doc_id")).transform(bounded).mapInArrow(_cut(window, True), "doc_id long, kept string, n_words long, n_removed long")
+    return both.select("tag", "text", "runs", F.nullif("did", F.lit(NULL_ID)).alias("doc_id")).transform(map_batches, _cut(window, True), "doc_id long, kept string, n_words long, n_removed long")
 
 
 def remove_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
@@ -263,8 +264,8 @@ def remove_repeats(documents: DataFrame, window: int = 20) -> DataFrame:
     whole = documents.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), _tag().alias("tag"), "text", *(F.col(f"`{c}`").alias(i) for c, i in inner.items() if c != "text"))
     runs = repeated_runs(whole, window).groupBy("did", "tag").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     both = whole.join(runs, ["did", "tag"], "left").select(*whole.columns, "runs")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.drop("did", "tag", "runs").schema)
-    cut = both.transform(bounded).mapInArrow(_cut(window, False), f"{schema}, kept string, n_words long, n_removed long")
+    added = [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
+    cut = both.transform(map_batches, _cut(window, False), T.StructType([*both.drop("did", "tag", "runs").schema, *added]))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
 
     def column(c: str):

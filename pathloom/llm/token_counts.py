@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import _words as W
-from pathloom.llm._shared import bounded, table
+from pathloom.llm._shared import map_batches, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary's texts are cut before merging (fixed by the vocabulary).
@@ -93,7 +93,7 @@ def section_tokens(documents: DataFrame, rule: str = "first", vocabulary: str =
     """doc_id, section (line of the text, from 0), n_chars and n_tokens."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
-    return documents.select("doc_id", "text").transform(bounded).mapInArrow(_lines(vocabulary, rule), "doc_id long, section int, n_chars long, n_tokens long")
+    return documents.select("doc_id", "text").transform(map_batches, _lines(vocabulary, rule), "doc_id long, section int, n_chars long, n_tokens long")
 
 
 def field_tokens(df: DataFrame, key: str, fields: Sequence[str], between: str = "\n", rule: str = "first", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -113,7 +113,7 @@ def field_tokens(df: DataFrame, key: str, fields: Sequence[str], between: str =
             yield from _counted(iter(rows), vocabulary, rule, batch.column("key").type)
 
     kind = df.schema[key].dataType.simpleString()
-    found = df.select(F.col(f"`{key}`").alias("key"), parts.alias("parts")).transform(bounded).mapInArrow(run, f"doc_id {kind}, section int, n_chars long, n_tokens long")
+    found = df.select(F.col(f"`{key}`").alias("key"), parts.alias("parts")).transform(map_batches, run, f"doc_id {kind}, section int, n_chars long, n_tokens long")
     return found.select(F.col("doc_id").alias(key), F.get(F.array(*map(F.lit, fields)), F.col("section")).alias("field"), "n_tokens")
 
 

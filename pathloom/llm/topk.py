@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm._shared import bounded, materialize, table
+from pathloom.llm._shared import map_batches, materialize, table
 
 SHARD, LEAF, QUERIES = 16384, 256, 2048
 _EXACT = 2.0**53
@@ -175,7 +175,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
         block = scaled(part.combine_chunks().to_batches()[0]) if part.num_rows else []
         if block:
-            hits = vectors.transform(bounded).mapInArrow(_searcher(block, k), "query_id long, vec_id long, score long")
+            hits = vectors.transform(map_batches, _searcher(block, k), "query_id long, vec_id long, score long")
             found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -5,12 +5,13 @@ them, lower-cased, hashed to BITS bits. Each coordinate has its own rate, and th
 at zero, so what is broadcast is small: at most 2 ** BITS weights, in practice some hundreds.
 
 Training reads a sample of at most TRAIN_ROWS labelled documents (those of the least hash of their id; a
-documented bound), whole texts, and passes them through one task in a fixed order, EPOCHS times. Scoring reads
-every document.
+documented bound), whole texts, and passes them through one task in a fixed order, EPOCHS times; their features are
+shuffled once, to be read once for each epoch. Scoring reads every document.
 
 Defined results: null and empty texts have no features and the score of the bias alone; labels that are null
 say nothing, of several for one document the largest counts; repeated rows get the same score each; without
-any label the score is 0.5 for all, and none is taken as toxic. The id, language and source are no features.
+any label to learn from the score is that of the bias UNKNOWN alone, under 0.5, so none is taken as toxic. The id,
+language and source are no features. Columns beside the text pass through, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.llm import _words as W
-from pathloom.llm._shared import bounded, table
+from pathloom.llm._shared import free_name, map_batches, table
 
 BITS = 20
 TRAIN_ROWS = 16384
@@ -31,6 +33,8 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 #: How far apart the two words of a pair are.
 APART = (1, 2, 3)
+#: The bias of a model that had no label to learn from.
+UNKNOWN = -1.0
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +53,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in W.slices(batch, "text"):
+        for part in W.slices(batch, "text", W.SMALL_SLICE):
             f, d = features(part.column("text"))
             both = np.unique(d << BITS | f)
             offsets = np.searchsorted(both >> BITS, np.arange(part.num_rows + 1)).astype(np.int32)
@@ -100,14 +104,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and weights that aren't zero."""
+    """Features and weights that aren't zero; none, where there is no label to learn from."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.struct(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).alias("turn"), F.col("label").cast("int"), "text")
-    found = texts.transform(bounded).mapInArrow(_extract, "turn struct<col1:long,doc_id:long,col3:long>, label int, features array<int>")
-    again = found.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
-    learned = again.repartition(1).sortWithinPartitions("epoch", "turn").select("label", "features").transform(bounded).mapInArrow(_learn, "feature int, weight double").toPandas()
+    found = texts.transform(map_batches, _extract, "turn struct<col1:long,doc_id:long,col3:long>, label int, features array<int>")
+    ordered = found.repartition(1).sortWithinPartitions("turn").select("label", "features")
+    epochs = ordered
+    for _ in range(EPOCHS - 1):
+        epochs = epochs.unionAll(ordered)
+    # One exchange, read anew by each epoch; all are alike, so it doesn't matter which of them comes first.
+    learned = epochs.coalesce(1).transform(map_batches, _learn, "feature int, weight double").toPandas()
     return learned["feature"].to_numpy(), learned["weight"].to_numpy()
 
 
@@ -116,7 +124,7 @@ def _scorer(index: np.ndarray, weight: np.ndarray, names: list[str]):
         dense = np.zeros((1 << BITS) + 1)
         dense[index] = weight
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", W.SMALL_SLICE):
                 f, d = features(part.column("text"))
                 told = np.flatnonzero(dense[f])
                 both = np.unique(d[told] << BITS | f[told])
@@ -128,22 +136,21 @@ def _scorer(index: np.ndarray, weight: np.ndarray, names: list[str]):
 
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], column: str = "__loom_score") -> DataFrame:
     """documents with the score in a further column, whose name must be free."""
-    inner = documents.select(F.col("text").alias("text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(documents.columns) if c != "text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema) + ", score double"
-    out = inner.transform(bounded).mapInArrow(_scorer(*model, inner.columns), schema)
-    return out.select(*(F.col("text" if c == "text" else f"_c{i}").alias(c) for i, c in enumerate(documents.columns)), F.col("score").alias(column))
+    model = model if len(model[0]) else (np.array([1 << BITS]), np.array([UNKNOWN]))
+    others = [c for c in documents.columns if c != "text"]
+    inner = documents.select("text", *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)))
+    out = inner.transform(map_batches, _scorer(*model, inner.columns), T.StructType([*inner.schema, T.StructField("score", T.DoubleType())]))
+    own = {c: f"_c{i}" for i, c in enumerate(others)} | {"text": "text"}
+    return out.select(*(F.col(own[c]).alias(c) for c in documents.columns), F.col("score").alias(column))
 
 
 def remove_toxic(documents: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
     """documents that score less than `at`, trained on these documents' own labels."""
-    model = train(documents, labels)
-    if not len(model[0]):
-        return documents
-    return score(documents, model).where(F.col("__loom_score") < at).drop("__loom_score")
+    column = free_name(documents.columns, "__loom_score")
+    return score(documents, train(documents, labels), column).where(F.col(column) < at).drop(column)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(documents, table(spark, sf_dir, "labels"))
-    scored = score(documents, model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__loom_score").alias("score"), ((F.col("__loom_score") >= 0.5) & F.lit(len(model[0]) > 0)).cast("int").alias("predicted"))
+    scored = score(documents, train(documents, table(spark, sf_dir, "labels")), "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

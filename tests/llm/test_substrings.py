@@ -35,6 +35,13 @@ def test_documents_keep_their_columns(corpus, documents):
     assert out.where("text IS NULL").count() == sum(t is None for _, t in corpus)
 
 
+def test_columns_of_any_name_and_type(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.sql(f"SELECT id AS doc_id, '{text}' AS text, named_struct('a b', id) AS `x.y`, 1 AS _c0, 2 AS runs, 3 AS did FROM range(3)")
+    out = S.remove_repeats(docs)
+    assert out.schema.simpleString() == docs.schema.simpleString() and [r.doc_id for r in out.collect()] == [0]
+
+
 def test_empty(empty):
     assert S.dedup(empty).count() == 0 and S.remove_repeats(empty).count() == 0
     with pytest.raises(ValueError):

@@ -1,10 +1,11 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
-
 from brute import prose
+from pyspark.sql import functions as F
 
 from pathloom.llm import toxicity as T
 
@@ -60,7 +61,15 @@ def test_no_labels_and_no_rows(spark, empty, documents):
     docs, labels, rows = labelled(spark)
     assert T.remove_toxic(docs, labels.where("false")).count() == len(rows)
     assert T.remove_toxic(empty, labels).count() == 0
-    assert {r["__loom_score"] for r in T.score(documents, (np.zeros(0, np.int64), np.zeros(0))).collect()} == {0.5}
+    (unknown,) = {r["__loom_score"] for r in T.score(documents, T.train(docs, labels.where("false"))).collect()}
+    assert 0 < unknown < 0.5
+
+
+def test_columns_of_any_name_and_type(spark):
+    docs = spark.sql("SELECT id AS doc_id, 'a b' AS text, named_struct('a b', id, 'c', array(1)) AS `x.y`, 1 AS _c0, 2 AS __loom_score FROM range(3)")
+    labels = spark.sql("SELECT id AS doc_id, 0 AS toxic FROM range(3)")
+    out = T.remove_toxic(docs, labels)
+    assert out.schema == docs.schema and out.count() == 3
 
 
 def test_features():
@@ -75,3 +84,44 @@ def test_sparse_updates():
         m.learn(np.array([1, 2]), 0)
     w = m.weights(np.arange(5))
     assert w[0] > 0 > w[2] and w[3] == 0
+
+
+def scalar(rows, epochs, size):
+    """FTRL-proximal, one coordinate at a time."""
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        l1 = 0.0 if i == size else T.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((T.BETA + math.sqrt(n[i])) / T.ALPHA + T.L2)
+
+    for _ in range(epochs):
+        for found, label in rows:
+            used = [*found, size]
+            w = {i: weight(i) for i in used}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in used:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / T.ALPHA * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(size + 1)]
+
+
+def test_training_against_a_scalar_version(spark):
+    docs, labels, rows = labelled(spark)
+    index, weights = T.train(docs, labels, rows=150)
+    told = {}
+    for i, toxic, _ in sorted(labels.collect(), key=str):
+        if i is not None and toxic is not None and zlib.crc32(str(i).encode()) % 5:
+            told[i] = max(toxic, told.get(i, 0))
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in told], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()][:150]
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault(i, []).append(t)
+    examples = []
+    for i in order:
+        for t in texts.get(i, []):
+            f, _ = T.features(pa.array([t]))
+            examples.append((sorted(set(f.tolist())), told[i]))
+    want = scalar(examples, T.EPOCHS, 1 << T.BITS)
+    assert {i: round(w, 9) for i, w in zip(index.tolist(), weights.tolist(), strict=True)} == {i: round(w, 9) for i, w in enumerate(want) if w}
