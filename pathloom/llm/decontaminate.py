@@ -12,10 +12,10 @@ __loom_ are taken).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm._shared import table
+from pathloom.llm._shared import free_name, table
 
 #: What is between words: every ASCII byte but 0-9 and a-z, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,48 +59,49 @@ def hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, block: int = B
     windows = benchmark_windows(benchmark, n)
     sizes = {r["size"]: (r["windows"], r["held"]) for r in windows.groupBy("size").agg(F.count("*").alias("windows"), F.sum(F.size("items")).alias("held")).collect()}
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("ws"))
+    # The outer form: else a filter that splits every text again is put below the generator.
+    at = docs.select("doc_id", "text_hash", "ws", F.posexplode_outer("ws").alias("at", "word"))
+    if len(sizes) == 1:
+        (size,) = sizes
+        at = at.withColumn("size", F.lit(size)).where(F.col("at") <= F.size("ws") - size).withColumn("doc_key", _gram_hash(F.col("ws"), F.col("at"), size))
+    else:
+        # Windows of all sizes from one pass over the words. explode() and array() stay in the generated code, where the words aren't copied for each window.
+        each = [F.struct(F.lit(k).alias("size"), F.when(F.col("at") <= F.size("ws") - k, _gram_hash(F.col("ws"), F.col("at"), k)).alias("doc_key")) for k in sorted(sizes)]
+        at = at.select("doc_id", "text_hash", "ws", "at", F.explode(F.array(*each) if each else F.array().cast("array<struct<size:int,doc_key:long>>")).alias("w"))
+        at = at.select("doc_id", "text_hash", "ws", "at", "w.size", "w.doc_key").where("doc_key IS NOT NULL")
+    # A window fills about as much as its items' ids do; both are in the bound.
+    blocks = max(1, -(-sum(count + held for count, held in sizes.values()) // block))
     found = None
-    for size, (count, held) in sorted(sizes.items()):
-        # A window fills about as much as its items' ids do; both are in the bound.
-        blocks = -(-(count + held) // block)
-        # The outer form: else a filter that splits every text again is put below the generator.
-        at = docs.select("doc_id", "text_hash", "ws", F.posexplode_outer("ws").alias("at", "word"))
-        at = at.where(F.col("at") <= F.size("ws") - size).select("doc_id", "text_hash", "ws", "at", _gram_hash(F.col("ws"), F.col("at"), size).alias("doc_key"))
-        for b in range(blocks):
-            part = windows.where(F.col("size") == size)
-            if blocks > 1:
-                part = part.where(F.pmod(F.col("key"), F.lit(blocks)) == b)
-            # Two comparisons, as an equality would become a join key and cut a slice for every window, not for those found only.
-            window = F.slice("ws", F.col("at") + 1, F.lit(size))
-            hit = at.join(F.broadcast(part.select("key", "gram", "items")), (F.col("doc_key") == F.col("key")) & (window <= F.col("gram")) & (window >= F.col("gram")))
-            hit = hit.select("doc_id", "text_hash", F.col("at").alias("start"), (F.col("at") + size).alias("end"), "items")
-            found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        found = docs.where(F.lit(False)).select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("end"), F.array().cast("array<string>").alias("items"))
-    grouped = found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hit_at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    # Sorted hits become spans: one opens where a hit starts beyond the ends of all before it, and reaches to the greatest end of its hits.
-    zero = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["start"] > acc["end"]
-        last = F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))
-        return F.struct(
-            F.when(apart & (acc["start"] >= 0), F.concat(acc["done"], last)).otherwise(acc["done"]).alias("done"),
-            F.when(apart, x["start"]).otherwise(acc["start"]).alias("start"),
-            F.greatest(x["end"], acc["end"]).alias("end"),
-            (acc["n"] + F.greatest(x["end"] - F.greatest(x["start"], acc["end"]), F.lit(0))).cast("long").alias("n"),
-        )
-
-    def close(acc: Column) -> Column:
-        return F.struct(F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))).alias("spans"), acc["n"].alias("n_hit"))
-
-    return grouped.withColumn("merged", F.aggregate("hit_at", zero, step, close)).select("doc_id", "text_hash", "merged.spans", "merged.n_hit", "items")
-
-
-def _beside_hits(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """documents with the struct column `__loom_hit`, null where there is no hit."""
-    found = found.select(F.col("doc_id").alias("__loom_id"), F.col("text_hash").alias("__loom_hash"), F.struct("spans", "n_hit", "items").alias("__loom_hit"))
-    return documents.join(found, F.col("doc_id").eqNullSafe(F.col("__loom_id")) & (F.xxhash64("text") == F.col("__loom_hash")), "left").drop("__loom_id", "__loom_hash")
+    for b in range(blocks):
+        part = windows.where(F.pmod(F.col("key"), F.lit(blocks)) == b) if blocks > 1 else windows
+        # Two comparisons, as an equality would become a join key and cut a slice for every window, not for those found only.
+        window = F.slice("ws", F.col("at") + 1, at["size"])
+        same = (F.col("doc_key") == F.col("key")) & (window <= F.col("gram")) & (window >= F.col("gram"))
+        hit = at.join(F.broadcast(part.select("key", "gram", "items")), same).select("doc_id", "text_hash", F.col("at").alias("start"), (F.col("at") + at["size"]).alias("end"), "items")
+        found = hit if found is None else found.unionByName(hit)
+    # Hits in order: one opens a span where it starts beyond the ends of all before it. A document's hits pass a window
+    # that keeps one running maximum, so a long text with many hits costs no more than its hits.
+    document = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn("before", F.max("end").over(document))
+    fresh = F.col("end") - F.greatest("start", F.coalesce("before", F.lit(0)))
+    opens = F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), F.struct("start", "before"))
+    grouped = placed.groupBy("doc_id", "text_hash").agg(
+        F.sum(F.greatest(fresh, F.lit(0))).cast("long").alias("n_hit"),
+        F.sort_array(F.collect_list(opens)).alias("opens"),
+        F.max("end").alias("last"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    ends = F.concat(F.slice("opens.before", F.lit(2), F.size("opens")), F.array("last"))
+    spans = F.zip_with("opens.start", ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    return grouped.select("doc_id", "text_hash", spans.alias("spans"), "n_hit", "items")
+
+
+def _beside_hits(documents: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
+    """documents with one struct column more, null where there is no hit, and that column."""
+    key, text, hit = (free_name(documents.columns, x) for x in ("_id", "_hash", "_hit"))
+    found = found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(text), F.struct("spans", "n_hit", "items").alias(hit))
+    both = documents.join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text)), "left")
+    return both.drop(key, text), F.col(hit)
 
 
 def report(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -118,17 +119,20 @@ def report(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, n: int = 10, share: float = 0.0) -> DataFrame:
     """The documents of which at most `share` of the words is hit, with their own columns."""
-    both = _beside_hits(documents, hits(documents, benchmark, n))
-    bad = F.coalesce(F.col("__loom_hit.n_hit") > share * F.size(words(F.col("text"))), F.lit(False))
-    return both.where(~bad).select(*(documents[c] for c in documents.columns))
+    both, hit = _beside_hits(documents, hits(documents, benchmark, n))
+    bad = hit["n_hit"] > (share * F.size(words(F.col("text"))) if share else F.lit(0))
+    return both.where(~F.coalesce(bad, F.lit(False))).select(*(documents[f"`{c}`"] for c in documents.columns))
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Documents without the words hit; a text that is cut is its other words, normalised and joined by spaces."""
-    both = _beside_hits(documents, hits(documents, benchmark, n))
-    kept = F.filter(words(F.col("text")), lambda w, i: ~F.exists(F.col("__loom_hit.spans"), lambda s: (s["start"] <= i) & (i < s["end"])))
-    text = F.when(F.col("__loom_hit").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
-    return both.select(*(text.alias("text") if c == "text" else documents[c] for c in documents.columns))
+    both, hit = _beside_hits(documents, hits(documents, benchmark, n))
+    ws, spans = words(F.col("text")), hit["spans"]
+    # A flag for each word, by runs: each array is gone through once.
+    runs = F.zip_with(F.concat(F.array(F.lit(0)), spans["end"]), spans, lambda e, s: F.when(s.isNotNull(), F.concat(F.array_repeat(F.lit(True), s["start"] - e), F.array_repeat(F.lit(False), s["end"] - s["start"]))))
+    kept = F.array_compact(F.zip_with(ws, F.flatten(F.array_compact(runs)), lambda w, f: F.when(F.coalesce(f, F.lit(True)), w)))
+    text = F.when(hit.isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
+    return both.select(*(text.alias("text") if c == "text" else documents[f"`{c}`"] for c in documents.columns))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

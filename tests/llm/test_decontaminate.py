@@ -55,3 +55,22 @@ def test_no_python(spark, documents):
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     plan = D.report(documents, bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_very_long_text_with_many_hits(spark):
+    """Hits apart, hits that touch and hits in each other; 120,000 words."""
+    text = "a b c x " * 20_000 + "a b c a b c y d a b c e z " * 3_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c"), (2, "d a b c e"), (3, "b")], "item_id long, text string")
+    (row,) = D.report(docs, bench, n=5).collect()
+    assert (row.n_hit, row["items"]) == (60_000 + 3_000 * 11, ["1", "2", "3"])
+    (row,) = D.remove_spans(docs, bench, n=5).collect()
+    assert row.text.split() == ["x"] * 20_000 + ["y", "z"] * 3_000
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.sql("SELECT id AS doc_id, concat('a b c ', id) AS text, 1 AS _id, 2 AS _hit, 3 AS spans, named_struct('a b', 4) AS `x.y` FROM range(2)")
+    bench = spark.createDataFrame([(1, "b c 1")], "item_id long, text string")
+    out = D.remove_documents(docs, bench)
+    assert out.schema.simpleString() == docs.schema.simpleString() and [r.doc_id for r in out.collect()] == [0]
+    assert sorted(r.text for r in D.remove_spans(docs, bench).collect()) == ["a", "a b c 0"]
