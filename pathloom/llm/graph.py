@@ -2,7 +2,7 @@
 
 Edges are pairs of ids. Each half step takes the least neighbour of every node (pre-aggregated before the
 shuffle) and joins it back to the edges. Both sides of such a join are read from tables in the shared folder,
-so a node with very many edges is a skewed join that adaptive execution splits. Ends when a whole step leaves
+so a node with very many edges is a skewed join that adaptive execution splits; tables of a step go when the next is written. Ends when a whole step leaves
 the edges as they were: each node then points at the least id of its component.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm._shared import materialize
+from pathloom.llm._shared import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,14 +25,18 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("low").alias("node"), F.col("low").alias("near")).unionByName(edges.select(F.col("high").alias("node"), F.col("low").alias("near")))
     least = materialize(both.groupBy("node").agg(F.min("near").alias("least")), "large-star")
     moved = edges.join(least, F.col("low") == F.col("node"))
-    return materialize(moved.select("high", F.col("least").alias("low")).distinct(), "edges")
+    out = materialize(moved.select("high", F.col("least").alias("low")).distinct(), "edges")
+    discard(least, edges)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of these."""
     least = materialize(edges.groupBy("high").agg(F.min("low").alias("least")).withColumnRenamed("high", "node"), "small-star")
     others = edges.join(least, F.col("high") == F.col("node")).where("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
-    return materialize(others.unionByName(least.select(F.col("node").alias("high"), F.col("least").alias("low"))).distinct(), "edges")
+    out = materialize(others.unionByName(least.select(F.col("node").alias("high"), F.col("least").alias("low"))).distinct(), "edges")
+    discard(least, edges)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

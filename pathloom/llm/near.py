@@ -4,7 +4,9 @@ A document is the set of its word shingles. Documents of equal sets are one clas
 on. Each set has MINIMA minima of multiply-shift hashes, in bands of ROWS; two sets of similarity 0.8 share no
 band with a probability of 5e-6. The least id of a bucket is its centre, and all that share a bucket share its
 centre; so the candidates are the members of a centre's group, and no list of pairs is made. Groups are cut in
-blocks of BLOCK members, each two blocks of a group meet in one place, and there the signatures are compared,
+blocks of BLOCK members and BLOCK_SHINGLES shingles. First each block meets the centre alone; members that are linked to it are
+one with it already. What is left meets all blocks of the group, two blocks at a time; blocks of linked members never
+meet each other, so a large group of copies costs no more than its texts. Where blocks meet the signatures are compared,
 then the full sets. Of the links found in one place only a spanning forest leaves it: the components are the
 same, and copies are never expanded into pairs.
 
@@ -19,18 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm import _words as W
-from pathloom.llm._shared import map_batches, materialize, partitions, table
+from pathloom.llm._shared import discard, free_name, map_batches, materialize, partitions, table
 from pathloom.llm.graph import components
 
 ROWS, BANDS = 6, 40
 MINIMA = ROWS * BANDS
 #: Minima that are compared before the full sets, and how far under the threshold an estimate may be (five standard deviations at 0.8).
 CHECKED, SLACK = 64, 0.25
-BLOCK = 96
+BLOCK, BLOCK_SHINGLES = 96, 1 << 21
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _A = _RNG.integers(0, 1 << 64, MINIMA, dtype=np.uint64) | np.uint64(1)
@@ -171,7 +173,7 @@ def linked(ids: list[int], side: list[int], sets: list[np.ndarray], cross: bool,
 
 
 def _verify(k: int, percent: int):
-    """Rows sorted by (centre, lo, hi): the members of two blocks of a group, one after the other."""
+    """Rows sorted by (centre, lo, hi): those that meet there, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -185,12 +187,12 @@ def _verify(k: int, percent: int):
         for batch in batches:
             for part in W.slices(batch, "text", W.SMALL_SLICE):
                 g, bounds = shingles(part.column("text"), k)
-                rows = zip(*(part.column(c).to_pylist() for c in ("centre", "lo", "hi", "id", "block")), strict=True)
-                for x, (centre, lo, hi, doc, block) in enumerate(rows):
+                rows = zip(*(part.column(c).to_pylist() for c in ("centre", "lo", "hi", "id", "side")), strict=True)
+                for x, (centre, lo, hi, doc, side) in enumerate(rows):
                     if (centre, lo, hi) != key:
                         yield from flush()
                         key, held = (centre, lo, hi), []
-                    held.append((doc, block, g[bounds[x] : bounds[x + 1]].copy()))
+                    held.append((doc, side, g[bounds[x] : bounds[x + 1]].copy()))
         yield from flush()
 
     return run
@@ -205,20 +207,54 @@ def near_links(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     classes = known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first"))
     same = known.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     # The id is in the join's key too, so copies are dealt out evenly.
-    firsts = known.join(classes.select("s1", "s2", "n_shingles", F.col("first").alias("doc_id")), ["s1", "s2", "n_shingles", "doc_id"]).select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    firsts = known.join(classes.select("s1", "s2", "n_shingles", F.col("first").alias("doc_id")), ["s1", "s2", "n_shingles", "doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = firsts.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = materialize(buckets, "buckets")
-    members = materialize(firsts.join(buckets, ["band", "key"]).where("id <> centre").select("centre", "id").distinct(), "members")
-    sizes = materialize(members.groupBy("centre").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks")), "sizes")
-    members = members.unionByName(members.select("centre", F.col("centre").alias("id")).distinct()).join(sizes, "centre")
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A merge join at every size: how many members there are is unknown, and a plan that changes with it can't be judged by small runs.
-    met = members.join(texts.where("doc_id IS NOT NULL").hint("merge"), F.col("id") == F.col("doc_id")).drop("doc_id")
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("centre", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "text")
-    met = met.repartition(partitions(spark), "centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
-    alike = met.transform(map_batches, _verify(k, percent), "a long, b long")
-    return rows, materialize(alike.unionByName(same), "links")
+    members = firsts.join(buckets, ["band", "key"]).where("id <> centre").select("centre", "id", "n_shingles").distinct()
+    members = materialize(members, "members")
+    own = members.groupBy("centre").agg(_blocks().alias("blocks"))
+    stars = _in_blocks(members.join(own, "centre")).withColumn("side", F.lit(0)).select("centre", F.col("block").alias("lo"), F.lit(CENTRE).alias("hi"), "id", "side")
+    centres = stars.select("centre", "lo", "hi").distinct().withColumns({"id": F.col("centre"), "side": F.lit(1)})
+    close = materialize(_meet(stars.unionByName(centres), texts, k, percent), "stars")
+    # Who is left, and their groups with all members; the centre itself is in them as a linked one.
+    told = members.join(close.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("centre"), F.lit(True).alias("linked")).distinct(), ["centre", "id"], "left")
+    told = told.withColumn("rest", F.isnull("linked")).drop("linked")
+    sizes = told.groupBy("centre").agg(_blocks(F.col("rest")).alias("n_rest"), _blocks(~F.col("rest")).alias("n_linked")).where("n_rest > 0")
+    told = materialize(told.join(sizes, "centre"), "rest")
+    rest = _in_blocks(told.where("rest").withColumnRenamed("n_rest", "blocks"))
+    linked_ones = _in_blocks(told.where("NOT rest").withColumn("blocks", F.col("n_linked")))
+    among = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    among = among.select("centre", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", F.col("block").alias("side"))
+    to = rest.where("n_linked > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_linked") - 1)))
+    to = to.select("centre", F.col("block").alias("lo"), (-2 - F.col("other")).alias("hi"), "id", F.lit(0).alias("side"))
+    back = linked_ones.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)))
+    back = back.select("centre", F.col("other").alias("lo"), (-2 - F.col("block")).alias("hi"), "id", F.lit(1).alias("side"))
+    alike = _meet(among.unionByName(to).unionByName(back), texts, k, percent)
+    links = materialize(alike.unionByName(close).unionByName(same), "links")
+    discard(buckets, members, close, told)
+    return rows, links
+
+
+#: In place of a second block's number: the centre alone. Blocks of linked members are numbered -2, -3 and so on.
+CENTRE = -1
+
+
+def _blocks(of: Column | None = None) -> Column:
+    """How many blocks the members take for which `of` holds."""
+    many, size = (F.when(F.lit(True) if of is None else of, x) for x in (F.lit(1), F.col("n_shingles")))
+    return F.greatest(F.ceil(F.count(many) / BLOCK), F.ceil(F.coalesce(F.sum(size), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    return members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _meet(places: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among what meets in one place (centre, lo, hi); places has id and side too, and only sides that differ are compared if lo and hi do."""
+    # A merge join at every size: how many places there are is unknown, and a plan that changes with it can't be judged by small runs.
+    met = places.join(texts.where("doc_id IS NOT NULL").hint("merge"), F.col("id") == F.col("doc_id")).drop("doc_id")
+    met = met.repartition(partitions(places.sparkSession), "centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
+    return met.transform(map_batches, _verify(k, percent), "a long, b long")
 
 
 def near_components(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -233,8 +269,9 @@ def near_components(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """documents without those whose component has a smaller id; rows without id stay."""
     _, links = near_links(documents, k, percent)
-    dropped = components(links).select(F.col("node").alias("__loom_dropped"))
-    return documents.join(dropped, F.col("doc_id") == F.col("__loom_dropped"), "left_anti")
+    name = free_name(documents.columns, "_dropped")
+    dropped = components(links).select(F.col("node").alias(name))
+    return documents.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

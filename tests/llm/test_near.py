@@ -86,3 +86,20 @@ def test_links_in_one_place(sets):
     for a, b in found:
         assert 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
     assert len(found) < len(sets)
+
+
+def test_chains_and_groups_in_many_blocks(spark, monkeypatch):
+    """Chains of near copies whose ends are far apart, one large group, and blocks of a few members."""
+    monkeypatch.setattr(N, "BLOCK", 3)
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 400)
+    rng = random.Random(4)
+    rows, base = [], [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    for i in range(60):
+        rows.append((i, " ".join(base)))
+        base = base.copy()
+        for _ in range(rng.randint(0, 2)):
+            base[rng.randrange(80)] = f"w{rng.randrange(10**6)}"
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.near_components(df, 4).collect())
+    assert found == sorted((d, n, c) for (d, _), (n, c) in zip(rows, brute.near(rows, 4), strict=True))
