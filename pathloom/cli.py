@@ -34,7 +34,7 @@ def _arguments(args: list[str]) -> tuple[str, list[str], str, bool]:
     return path, args, form, index
 
 
-def main(args: list[str], out=sys.stdout, err=sys.stderr, spark: SparkSession | None = None) -> int:
+def main(args: list[str], out=sys.stdout, err=sys.stderr, spark: SparkSession | None = None, stdin=sys.stdin) -> int:
     try:
         text, files, form, index = _arguments(list(args))
         path = parse_path(text)
@@ -42,11 +42,11 @@ def main(args: list[str], out=sys.stdout, err=sys.stderr, spark: SparkSession |
         print(e, file=err)
         return 2
     spark = spark or SparkSession.builder.master("local[*]").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    documents = read_documents(spark, files, form) if files else from_texts(spark, split_documents(sys.stdin.read()))
+    documents = read_documents(spark, files, form) if files else from_texts(spark, split_documents(stdin.read()))
     good, bad = good_and_bad(documents)
     for row in select(good.select("document"), "document", path, include_array_index=index).select(F.to_json("value")).toLocalIterator():
         print(row[0], file=out)
-    wrong = bad.select(F.substring("text", 1, 80)).take(1)
+    wrong = bad.select("error", F.substring("text", 1, 80)).take(1)
     if wrong:
-        print(f"no JSON: {wrong[0][0]}", file=err)
+        print(f"no JSON: {wrong[0][0]}: {wrong[0][1]}", file=err)
     return 1 if wrong else 0

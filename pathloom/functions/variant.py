@@ -22,9 +22,19 @@ def names(keys: Iterable[str]) -> str:
 
 def member(v: str, key: str) -> str:
     """SQL: an object's value under a key, as VARIANT; NULL if it isn't an object or lacks the key. JSON null is not NULL."""
-    if not key or "'" in key or "\\" in key or '"' in key:
+    if not plain_keys([key]):
         return f"element_at(try_cast({v} AS map<string, variant>), {literal(key)})"
-    return f"variant_get({v}, {literal(f"$['{key}']")}, 'variant')"
+    return descend(v, [key])
+
+
+def plain_keys(keys: Iterable[str]) -> bool:
+    """Whether keys can stand in a path of variant_get."""
+    return all(k and not set(k) & set("'\\\"") for k in keys)
+
+
+def descend(v: str, keys: Iterable[str]) -> str:
+    """SQL: what is under keys, one in the other; NULL if any is lacking, or an array lies between. Keys are plain ones."""
+    return f"variant_get({v}, {literal('$' + ''.join(f"['{k}']" for k in keys))}, 'variant')"
 
 
 def is_array(v: str) -> str:
@@ -37,6 +47,15 @@ def kind_of(v: str) -> str:
     return f"CASE WHEN is_variant_null({v}) THEN 'null' WHEN try_cast({v} AS array<variant>) IS NOT NULL THEN 'array' WHEN try_cast({v} AS map<string, variant>) IS NOT NULL THEN 'object' ELSE 'scalar' END"
 
 
+def shallow(text: Column, depth: int) -> Column:
+    """Whether a JSON text has at most `depth` objects and arrays in each other. One pass by a pattern that never goes back."""
+    between = r'[^\[\]{}"]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^\[\]{}"]*+)*+'
+    nested = rf"[\[{{]{between}[\]}}]"
+    for _ in range(depth - 1):
+        nested = rf"[\[{{]{between}(?:{nested}{between})*+[\]}}]"
+    return text.rlike(rf"(?s)\A{between}(?:{nested}{between})*+\z")
+
+
 def condition(c: Condition, atom) -> str:
     """SQL of a condition; atom gives that of a key."""
     if isinstance(c, Key):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pathloom.functions.variant import advanced
 from pathloom.operators.unrolled import LAST, _finished
@@ -38,4 +37,6 @@ def recursive(df: DataFrame, path: PathExpr, *, index: bool) -> DataFrame:
         )
         SELECT {", ".join([*own, "_v", "_shown"])}, concat(_ord, array({LAST})) AS _ord FROM w WHERE (_s & {accept}) <> 0
     """
-    return _finished(spark.sql(walk).withColumn("_s", F.lit(0)).drop("_s"), path)
+    found = spark.sql(walk)
+    spark.catalog.dropTempView(view)
+    return _finished(found, path)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.functions.variant import shallow
 from pathloom.operators.recursive import recursive
 from pathloom.operators.typed import has_map, typed
 from pathloom.operators.udtf import by_udtf
-from pathloom.operators.unrolled import unrolled
+from pathloom.operators.unrolled import ARRAY_DEPTH, unrolled
 from pathloom.plans.ast import PathExpr
 from pathloom.plans.parser import as_path
 
@@ -43,6 +46,7 @@ def select(
     array_depth: int = 2,
     keep_type: bool = False,
     ordered: bool = False,
+    names: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row for each node that the path reaches: df's other columns, path, value and kind.
 
@@ -50,31 +54,67 @@ def select(
     include_array_index the positions of elements, as text; positions in a root array are not in it.
     value: VARIANT, or with keep_type (typed columns) the values' own type. kind: object, scalar or null.
     Arrays are never reached themselves; their elements are. Documents that are no JSON give no rows.
+    names: other names for path, value, kind and ord, which are needed where df has such columns too.
 
-    strategy: typed (plan over the schema; the default for structs and arrays), unrolled (a chain of generators
-    of set depth, which raises on what is deeper: max_depth levels from the first `*` or `..` on, array_depth
-    arrays directly in each other before; the default else), recursive (any depth, batch only), udtf (Python:
-    any depth, members in the order written).
+    strategy: auto (typed for structs and arrays; else unrolled, and documents that are too deep for it by udtf, each
+    by itself), typed (plan over the schema), unrolled (a chain of generators of set depth, which raises on what is
+    deeper: max_depth levels from the first `*` or `..` on, array_depth arrays directly in each other before, or eight
+    where positions aren't asked for), recursive (a recursive query, batch only), udtf (Python: any depth, members in
+    the order written).
     ordered: adds ord, an array<int>; within a document it sorts inner nodes before outer ones, elements by
-    position, and members by key (as written for udtf).
+    position, and members by key (as written for udtf, by the schema for typed).
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {', '.join(STRATEGIES)}")
     compiled = as_path(path)
     kind = df.schema[column].dataType
+    unknown = strategy == "auto" and (has_map(kind) or not isinstance(kind, T.StructType | T.ArrayType))
     if strategy == "auto":
-        strategy = "typed" if isinstance(kind, T.StructType | T.ArrayType) and not has_map(kind) else "unrolled"
+        strategy = "unrolled" if unknown else "typed"
     if keep_type and strategy != "typed":
         raise ValueError("only typed selection keeps types")
+    result = {c: (names or {}).get(c, c) for c in ("path", "value", "kind", *(["ord"] if ordered else []))}
+    own = [c for c in df.columns if c != column]
+    if clash := {c.lower() for c in own} & {c.lower() for c in result.values()}:
+        raise ValueError(f"df has columns {', '.join(sorted(clash))}; give others by `names`")
+    # The plans' own columns can't meet the caller's, whose names are put back at the end.
+    inner = df.select(*(F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(own)), F.col(f"`{column}`").alias("_doc"))
     if strategy == "typed":
-        found = typed(df, column, compiled, index=include_array_index, keep_type=keep_type)
+        found = typed(inner, "_doc", compiled, index=include_array_index, keep_type=keep_type)
     elif strategy == "udtf":
-        text = F.col(f"`{column}`") if isinstance(kind, T.StringType) else F.to_json(F.col(f"`{column}`"))
-        found = by_udtf(df.withColumn("_v", text).drop(column), compiled, index=include_array_index)
+        found = _in_python(inner, compiled, include_array_index)
     elif strategy == "recursive":
-        found = recursive(documents(df, column), compiled, index=include_array_index)
+        found = recursive(documents(inner, "_doc"), compiled, index=include_array_index)
+    else:
+        flat = all(not s.deep and s.test is not None for s in compiled.steps)
+        deep = None
+        if unknown and not flat:
+            limit = fits(_as_text(inner), compiled, include_array_index or ordered, max_depth, array_depth)
+            deep = _in_python(inner.where(~limit), compiled, include_array_index)
+            inner = inner.where(limit)
+        found = unrolled(documents(inner, "_doc"), compiled, index=include_array_index, ordered=ordered, max_depth=max_depth, array_depth=array_depth)
+        if deep is not None:
+            found = found.unionByName(deep)
+    source = {"path": "_shown", "value": "_value", "kind": "_kind", "ord": "_ord"}
+    return found.select(*(F.col(f"_o{i}").alias(c) for i, c in enumerate(own)), *(F.col(source[c]).alias(name) for c, name in result.items()))
+
+
+def _as_text(df: DataFrame) -> Column:
+    return F.col("_doc") if isinstance(df.schema["_doc"].dataType, T.StringType) else F.to_json("_doc")
+
+
+def _in_python(df: DataFrame, path: PathExpr, index: bool) -> DataFrame:
+    return by_udtf(df.withColumn("_v", _as_text(df)).drop("_doc"), path, index=index)
+
+
+def fits(text: Column, path: PathExpr, positions: bool, max_depth: int, array_depth: int) -> Column:
+    """Whether a document is surely within the depth of an unrolled plan. False, never NULL, for a NULL text too."""
+    hops = array_depth if positions else max(array_depth, ARRAY_DEPTH)
+    known = bool(path.steps) and not path.steps[0].deep and path.steps[0].test is not None
+    within = shallow(text, min(max_depth, hops) if known and not positions else max_depth)
+    if known and positions:
+        # Arrays are counted whatever is between them, which is more than are directly in each other.
+        within = within & shallow(F.regexp_replace(text, r"[{}]", ""), hops)
     else:
-        found = unrolled(documents(df, column), compiled, index=include_array_index, ordered=ordered, max_depth=max_depth, array_depth=array_depth)
-    own = [F.col(f"`{c}`") for c in df.columns if c != column]
-    result = [F.col("_shown").alias("path"), F.col("_value").alias("value"), F.col("_kind").alias("kind")]
-    return found.select(*own, *result, *([F.col("_ord").alias("ord")] if ordered else []))
+        within = within & ~text.rlike(rf"\A\s*+(?:\[\s*+){{{hops + 1}}}")
+    return F.coalesce(within, F.lit(False))

@@ -1,17 +1,16 @@
-"""Selection in Python, where order within objects matters or a stream has documents of any depth.
+"""Selection in Python, where order within objects matters or documents are of any depth.
 
-The slow way: each document is parsed and walked in a Python worker. It keeps the order of members as
-written, which VARIANT does not.
+The slow way: each document is parsed and walked in a Python worker, without recursion. It keeps the order of members as
+written, which VARIANT does not. A value that is nested deeper than a VARIANT can be is NULL; its path and kind are given.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.plans.ast import PathExpr
+from pathloom.plans.jsontext import SyntaxFault, dumps, loads
 from pathloom.plans.matcher import select_values
 
 
@@ -19,47 +18,21 @@ def _kind(value: object) -> str:
     return "object" if isinstance(value, dict) else "null" if value is None else "scalar"
 
 
-def _no_constant(name: str) -> None:
-    raise ValueError(f"{name} is not JSON")
-
-
 def by_udtf(df: DataFrame, path: PathExpr, *, index: bool) -> DataFrame:
     """df has _v, as JSON text. Numbers keep the digits they are written with; bad documents give nothing."""
 
-    class Raw(float):
-        """A number as it was written."""
-
-        text: str
-
-        def __new__(cls, text: str) -> Raw:
-            made = super().__new__(cls, text)
-            made.text = text
-            return made
-
-        def __repr__(self) -> str:
-            return self.text
-
-    def dumps(value: object) -> str:
-        if isinstance(value, Raw):
-            return value.text
-        if isinstance(value, dict):
-            return "{" + ",".join(f"{json.dumps(k)}:{dumps(x)}" for k, x in value.items()) + "}"
-        if isinstance(value, list):
-            return "[" + ",".join(map(dumps, value)) + "]"
-        return json.dumps(value)
-
     @F.udtf(returnType="_shown array<string>, _json string, _kind string, _n int")
     class Selected:
         def eval(self, text: str):
             if text is None:
                 return
             try:
-                document = json.loads(text, parse_float=Raw, parse_constant=_no_constant)
-            except ValueError:
+                document = loads(text)
+            except SyntaxFault:
                 return
             for n, (keys, value) in enumerate(select_values(path, document, index)):
                 yield keys, dumps(value), _kind(value), n
 
     out = df.lateralJoin(Selected(F.col("_v").outer()))
-    out = out.withColumn("_value", F.parse_json("_json")).withColumn("_ord", F.array("_n"))
+    out = out.withColumn("_value", F.try_parse_json("_json")).withColumn("_ord", F.array("_n"))
     return out.drop("_json", "_n", "_v")

@@ -66,21 +66,28 @@ def _leaf(path: PathExpr, value: Any) -> tuple[bool, Any]:
 def select_values(path: PathExpr, document: Any, with_index: bool = False) -> Iterator[tuple[list[str], Any]]:
     """(keys, value) of all that path reaches in a parsed document, inner before outer; root arrays are opened."""
 
-    def walk(value: Any, states: int, keys: tuple[str, ...], shown: tuple[str, ...]) -> Iterator[tuple[list[str], Any]]:
+    def inside(value: Any, states: int, keys: tuple[str, ...], shown: tuple[str, ...]) -> Iterator[tuple]:
         if isinstance(value, list):
             for i, x in enumerate(value):
-                yield from walk(x, states, keys, (*shown, str(i)) if with_index and keys else shown)
-            return
-        if isinstance(value, dict):
+                yield x, states, keys, (*shown, str(i)) if with_index and keys else shown
+        elif isinstance(value, dict):
             for k, x in value.items():
                 if after := advance(path, states, keys, k):
-                    yield from walk(x, after, (*keys, k), (*shown, k))
-        if accepts(path, states):
+                    yield x, after, (*keys, k), (*shown, k)
+
+    # Nodes that are open, each with what is left of its members.
+    root = (document, START, (), ())
+    stack = [(root, inside(*root))]
+    while stack:
+        (value, states, _, shown), rest = stack[-1]
+        if (member := next(rest, None)) is not None:
+            stack.append((member, inside(*member)))
+            continue
+        stack.pop()
+        if not isinstance(value, list) and accepts(path, states):
             wanted, found = _leaf(path, value)
             if wanted:
                 yield list(shown), found
 
-    yield from walk(document, START, (), ())
-
 
 __all__ = ["START", "Step", "accepts", "advance", "covers", "matches_keys", "select_values"]

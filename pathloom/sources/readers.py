@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.plans.jsontext import documents as split_documents
+from pathloom.plans.jsontext import fault
+
 FORMATS = ("lines", "whole", "concatenated")
 
 
@@ -28,34 +31,6 @@ def plain_quotes(text: Column | str) -> Column:
     return F.array_join(quoted, "")
 
 
-def split_documents(text: str) -> Iterator[str]:
-    """Objects and arrays that follow each other in a text, with or without anything between them that isn't one.
-
-    A text that ends inside of a document gives what is left, as a document that won't parse.
-    """
-    depth, begin, at, quoted = 0, 0, 0, False
-    while at < len(text):
-        c = text[at]
-        if quoted:
-            if c == "\\":
-                at += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            if depth == 0:
-                begin = at
-            depth += 1
-        elif c in "}]" and depth:
-            depth -= 1
-            if depth == 0:
-                yield text[begin : at + 1]
-        at += 1
-    if depth:
-        yield text[begin:]
-
-
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for file, text in zip(batch["file"], batch["text"], strict=True):
@@ -64,6 +39,16 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"file": file, "text": found})
 
 
+@F.pandas_udf(T.StringType())
+def _fault(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else fault(t) or "nested deeper than a VARIANT can be, or too large for one")
+
+
+def fault_of(text: Column) -> Column:
+    """Why a text is no JSON, with the position; Python, for the few that are none. NULL for NULL."""
+    return _fault(text)
+
+
 def _texts(reader, paths: str | list[str], form: str) -> DataFrame:
     texts = reader.text(paths, wholetext=form != "lines")
     return texts.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
@@ -83,7 +68,8 @@ def read_documents(spark: SparkSession, paths: str | list[str], form: str = "lin
     """file, text and document of each document; document is NULL where the text is no JSON.
 
     form: lines (a document a line; blank lines are none), whole (a document, or an array of documents, a file)
-    or concatenated (documents one after the other, over lines or within one).
+    or concatenated (documents one after the other, over lines or within one; what is between them and is neither white
+    space, comma nor a scalar is a document that is no JSON).
     Root arrays are opened by the selection.
     """
     if form not in FORMATS:
@@ -108,12 +94,14 @@ def from_texts(spark: SparkSession, texts: Iterable[str]) -> DataFrame:
 
 
 def good_and_bad(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Those that are JSON, and those that aren't."""
-    bad = documents.where(F.col("document").isNull() & F.col("text").isNotNull())
-    return documents.where(F.col("document").isNotNull()), bad.drop("document")
+    """Those that are JSON, and those that aren't, with `error`: what is wrong, and where."""
+    bad = documents.where(F.col("document").isNull() & F.col("text").isNotNull()).drop("document")
+    return documents.where(F.col("document").isNotNull()), bad.withColumn("error", fault_of(F.col("text")))
 
 
 def strictly(documents: DataFrame) -> DataFrame:
     """documents, failing on the first that is no JSON."""
-    shown = F.concat(F.lit("no JSON: "), F.substring("text", 1, 80))
-    return documents.where(F.when(F.col("document").isNull() & F.col("text").isNotNull(), F.raise_error(shown).cast("boolean")).otherwise(F.lit(True)))
+    bad = F.when(F.col("document").isNull(), F.col("text"))
+    found = documents.withColumn("__loom_fault", fault_of(bad))
+    shown = F.concat(F.lit("no JSON: "), "__loom_fault", F.lit(": "), F.substring("text", 1, 80))
+    return found.where(F.when(F.col("__loom_fault").isNotNull(), F.raise_error(shown).cast("boolean")).otherwise(F.lit(True))).drop("__loom_fault")

@@ -25,8 +25,10 @@ def test_lines(spark, tmp_path):
     assert values(df) == ["1", "2", "3"]
     good, bad = good_and_bad(df)
     assert good.count() == 3 and [r["text"].strip() for r in bad.collect()] == ['{"a":']
-    with pytest.raises(Exception, match="no JSON"):
+    assert "unexpected end at position" in bad.collect()[0]["error"]
+    with pytest.raises(Exception, match="no JSON: unexpected end at position"):
         strictly(df).count()
+    assert strictly(good).count() == 3
 
 
 def test_whole_and_root_array(spark, tmp_path):
@@ -45,7 +47,11 @@ def test_concatenated(spark, tmp_path):
 
 
 def test_split_documents():
-    assert list(split_documents("")) == [] and list(split_documents(' , 5 "x{" ')) == []
+    assert list(split_documents("")) == [] and list(split_documents(' , 5 "x{" true,null -1.5e3\n')) == []
+    assert list(split_documents("this is not json")) == ["this is not json"]
+    assert list(split_documents('{"a":1} garbage 5 {"a":2} ] {"a":3}, 7')) == ['{"a":1}', "garbage 5", '{"a":2}', "]", '{"a":3}']
+    assert list(split_documents('{"a":1} "open')) == ['{"a":1}', '"open']
+    assert list(split_documents("[" * 100_000 + "]" * 100_000)) == ["[" * 100_000 + "]" * 100_000]
     assert list(split_documents('{"a\\"}": 1}{}')) == ['{"a\\"}": 1}', "{}"]
 
 
@@ -77,7 +83,7 @@ def test_stream(spark, tmp_path):
     stream_values(found, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     (tmp_path / "in" / "2.json").write_text('{"a": 4}\n')
     stream_values(found, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
-    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(["1", "2", "3", "4"])
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(["1", "2", "3", '{"a":3}', "4"])
     with pytest.raises(ValueError):
         select_stream(df, "document", "$..a", strategy="recursive")
     with pytest.raises(ValueError):
@@ -107,4 +113,8 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"a": 1}{')
     assert main(["$", str(tmp_path / "b.json")], io.StringIO(), err, spark) == 1
     assert main(["$.{"], out, err, spark) == 2
+    for text, found, code, said in (("this is not json", [], 1, 'unexpected "t" at position 0'), ('{"a": 1} garbage {"a": 2}', ["1", "2"], 1, 'unexpected "g"'), ('{"a": 1}\n[{"a": 2}] 5', ["1", "2"], 0, ""), ("", [], 0, "")):
+        out, err = io.StringIO(), io.StringIO()
+        assert main(["$.a"], out, err, spark, io.StringIO(text)) == code
+        assert sorted(out.getvalue().split()) == found and said in err.getvalue()
     assert main(["--what", "$"], out, err, spark) == 2
