@@ -58,7 +58,7 @@ def main() -> None:
     }
     try:
         from pathloom.llm.queries import QUERIES
-    except ModuleNotFoundError:
+    except ImportError:
         QUERIES = {}
     queries |= {name: (lambda f=f: f(spark, d)) for name, f in QUERIES.items()}
 

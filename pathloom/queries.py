@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,9 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathloom.cli import main
 from pathloom.functions.variant import drop_keys, has_keys, keys_match, kind
 from pathloom.operators.select import select
+from pathloom.plans.ast import All, Key, keys_of
+from pathloom.plans.builder import PathBuilder
+from pathloom.plans.matcher import covers
+from pathloom.plans.parser import parse_condition, parse_path
 from pathloom.sources.readers import good_and_bad, plain_quotes, read_documents
+from pathloom.sources.sinks import on_rows, write_values
 from pathloom.streaming.select import select_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,6 +333,49 @@ def three_levels(spark: SparkSession, d: str) -> DataFrame:
     return select(nation, "inner", "$.suppliers.name").select("r_regionkey", "n_name", to("string").alias("s_name"))
 
 
+@query("SELECT o_orderkey, o_orderpriority AS priority FROM orders")
+def descendant_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Some documents are far deeper than the plan for the others; these go by themselves."""
+    wrapped = F.concat(F.repeat(F.lit('{"in": ['), F.lit(30)), F.col("doc"), F.repeat(F.lit("]}"), F.lit(30)))
+    docs = order_texts(spark, d).withColumn("doc", F.when(F.col("o_orderkey") % 8 == 0, wrapped).otherwise(F.col("doc")))
+    return select(docs, "doc", "$..priority").select("o_orderkey", to("string").alias("priority"))
+
+
+@query("SELECT event_id, 'é€😀/\"\\' || event_type AS t FROM events WHERE event_type IS NOT NULL")
+def unicode_escapes(spark: SparkSession, d: str) -> DataFrame:
+    """Escapes in keys and values, pairs of surrogates too."""
+    text = F.concat(F.lit(r'{"\u0074": "\u00e9\u20AC\ud83d\ude00\/\"\\'), "event_type", F.lit('"}'))
+    return select(table(spark, d, "events").where("event_type IS NOT NULL").select("event_id", text.alias("doc")), "doc", "$.t").select("event_id", to("string").alias("t"))
+
+
+@query("SELECT event_id, event_id AS last FROM events")
+def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Of a key that an object repeats the last value counts."""
+    text = F.concat(F.lit('{"a": {"b": 1}, "a": '), F.col("event_id").cast("string"), F.lit("}"))
+    return select(table(spark, d, "events").select("event_id", text.alias("doc")), "doc", "$..a").select("event_id", to("bigint").alias("last"))
+
+
+@query("SELECT * FROM (VALUES ('a && (!b || c)', 'a b c'), ('!(x)', 'x'), ('k && k', 'k'), ('promo || !big', 'promo big')) AS t(condition, keys)")
+def condition_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The keys that a condition names, in order, each once."""
+    texts = ("a && (!b || c)", "!(x)", "k && k", "promo || !big")
+    return spark.createDataFrame([(t, " ".join(keys_of(parse_condition(t)))) for t in texts], "condition string, keys string")
+
+
+@query(ORACLES["presence"])
+def path_builder(spark: SparkSession, d: str) -> DataFrame:
+    """A path that is put together instead of parsed."""
+    built = PathBuilder().descendant().child("lines").keep(All((Key("promo"), Key("big")))).build()
+    return _numbers(select(order_texts(spark, d), "doc", built))
+
+
+@query("SELECT * FROM (VALUES ('$', '$', true), ('$.*', '$.a', true), ('$.a', '$.*', false), ('$..c', '$.a.b.c', true), ('$..[a && b]c', '$.a.b.c', true), ('$..[d]c', '$.a.b.c', false), ('$.a.c', '$..c', false)) AS t(pattern, path, covered)")
+def path_to_path(spark: SparkSession, d: str) -> DataFrame:
+    """Whether one path reaches what another names."""
+    pairs = (("$", "$"), ("$.*", "$.a"), ("$.a", "$.*"), ("$..c", "$.a.b.c"), ("$..[a && b]c", "$.a.b.c"), ("$..[d]c", "$.a.b.c"), ("$.a.c", "$..c"))
+    return spark.createDataFrame([(a, b, covers(parse_path(a), parse_path(b))) for a, b in pairs], "pattern string, path string, covered boolean")
+
+
 # Columns
 
 
@@ -352,6 +402,10 @@ def _event_lines(spark: SparkSession, d: str) -> DataFrame:
 EVENT_TYPES = "SELECT event_id, event_type FROM events WHERE event_type IS NOT NULL"
 
 
+#: Hashes under this mask tell groups of lines: so many that a group is small at the tables' sizes.
+GROUPS = 0xFFF
+
+
 def _event_types(found: DataFrame) -> DataFrame:
     return found.select(at("value", "$.event_id", "bigint").alias("event_id"), at("value", "$.type", "string").alias("event_type"))
 
@@ -374,7 +428,7 @@ def source_gzip(spark: SparkSession, d: str) -> DataFrame:
 def source_concatenated(spark: SparkSession, d: str) -> DataFrame:
     """Documents that follow each other on a line, and over lines."""
     path = _folder(spark, "concatenated")
-    pairs = _event_lines(spark, d).groupBy(F.pmod(F.xxhash64("value"), F.lit(500))).agg(F.array_join(F.collect_list("value"), "").alias("value"))
+    pairs = _event_lines(spark, d).groupBy(F.xxhash64("value").bitwiseAND(GROUPS)).agg(F.array_join(F.collect_list("value"), "").alias("value"))
     pairs.select(F.regexp_replace("value", ",", ",\n ").alias("value")).write.text(path)
     return _event_types(select(read_documents(spark, path, "concatenated").select("document"), "document", "${type}"))
 
@@ -383,9 +437,30 @@ def source_concatenated(spark: SparkSession, d: str) -> DataFrame:
 def source_whole_array(spark: SparkSession, d: str) -> DataFrame:
     """Files that are one array each."""
     path = _folder(spark, "whole")
-    parts = _event_lines(spark, d).groupBy(F.pmod(F.xxhash64("value"), F.lit(4)).alias("part")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
-    parts.write.partitionBy("part").text(path)
-    return _event_types(select(read_documents(spark, f"{path}/*", "whole").select("document"), "document", "${type}"))
+    arrays = _event_lines(spark, d).groupBy(F.xxhash64("value").bitwiseAND(GROUPS)).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return _event_types(select(read_documents(spark, path, "whole").select("document"), "document", "${type}"))
+
+
+@query(EVENT_TYPES)
+def source_large_array(spark: SparkSession, d: str) -> DataFrame:
+    """One file that is one array, read by element. (One task writes it, line by line, as it is one file.)"""
+    path = _folder(spark, "array")
+    lines = _event_lines(spark, d).select(F.concat("value", F.lit(",")).alias("value"), F.lit(1).alias("n"))
+    around = spark.createDataFrame([("[", 0), ("null]", 2)], "value string, n int")
+    lines.unionByName(around).repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+    return _event_types(select(read_documents(spark, path, "array").select("document"), "document", "${type}"))
+
+
+@query("SELECT 'good' AS what, count(*) AS n FROM events UNION ALL SELECT 'bad', count(*) FROM events WHERE event_id % 7 = 0")
+def concatenated_bad(spark: SparkSession, d: str) -> DataFrame:
+    """What stands between documents and is none goes to the bad ones, with the position of the fault."""
+    path = _folder(spark, "garbage")
+    noise = F.when(F.col("event_id") % 7 == 0, F.lit(" nonsense ")).otherwise(F.lit(" "))
+    table(spark, d, "events").select(F.concat(F.lit('{"a": 1}'), noise).alias("value")).write.text(path)
+    good, bad = good_and_bad(read_documents(spark, path, "concatenated"))
+    told = bad.where(F.col("error") == 'unexpected "n" at position 0')
+    return good.select(F.lit("good").alias("what")).unionByName(told.select(F.lit("bad").alias("what"))).groupBy("what").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, event_type || ' \"\\d' AS t FROM events WHERE event_type IS NOT NULL")
@@ -399,7 +474,35 @@ def bad_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are no JSON take their own way, and stop no other."""
     texts = table(spark, d, "events").select(F.when(F.col("event_id") % 7 == 0, '{"k": ').otherwise(F.coalesce("props", F.lit("{}"))).alias("text"))
     good, bad = good_and_bad(texts.withColumn("document", F.try_parse_json("text")))
-    return good.agg(F.count("*").alias("good")).crossJoin(bad.agg(F.count("*").alias("bad")))
+    each = good.select(F.lit(1).alias("g"), F.lit(0).alias("b")).unionByName(bad.where("error LIKE 'unexpected end at position %'").select(F.lit(0).alias("g"), F.lit(1).alias("b")))
+    return each.agg(F.sum("g").alias("good"), F.sum("b").alias("bad"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def command_line(spark: SparkSession, d: str) -> DataFrame:
+    """Documents on standard input, values on standard output."""
+    lines = table(spark, d, "nation").select(F.to_json(F.struct(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")).alias("nation")))).collect()
+    out = io.StringIO()
+    if main(["$.nation", "{k", "&& n}"], out, io.StringIO(), spark, io.StringIO("\n".join(r[0] for r in lines))):
+        raise ValueError("the command ended with an error")
+    found = spark.createDataFrame([(x,) for x in out.getvalue().splitlines()], "value string").select(F.parse_json("value").alias("value"))
+    return found.select(at("value", "$.k", "int").alias("n_nationkey"), at("value", "$.n", "string").alias("n_name"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def sink_listener(spark: SparkSession, d: str) -> DataFrame:
+    """A function on the driver is called for each value."""
+    docs = table(spark, d, "nation").select(F.to_json(F.struct(F.struct("n_nationkey", "n_name").alias("nation"))).alias("doc"))
+    heard: list[tuple[str]] = []
+    on_rows(select(docs, "doc", "$.nation"), lambda r: heard.append((r["value"],)))
+    return spark.createDataFrame(heard, "value string").select(F.from_json("value", "n_nationkey int, n_name string").alias("v")).select("v.*")
+
+
+@query(EVENT_TYPES)
+def sink_json_lines(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "json-lines")
+    write_values(select(_event_lines(spark, d), "value", "${type}"), path)
+    return _event_types(spark.read.text(path).select(F.try_parse_json("value").alias("value")))
 
 
 @query(ORACLES["events_props"])

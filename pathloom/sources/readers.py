@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from pathloom.plans.jsontext import documents as split_documents
 from pathloom.plans.jsontext import fault
+from pathloom.sources.arrays import END, elements
 
-FORMATS = ("lines", "whole", "concatenated")
+FORMATS = ("lines", "whole", "concatenated", "array")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -67,20 +68,27 @@ def _with_values(texts: DataFrame, form: str, triple_quotes: bool) -> DataFrame:
 def read_documents(spark: SparkSession, paths: str | list[str], form: str = "lines", triple_quotes: bool = False) -> DataFrame:
     """file, text and document of each document; document is NULL where the text is no JSON.
 
-    form: lines (a document a line; blank lines are none), whole (a document, or an array of documents, a file)
+    form: lines (a document a line; blank lines are none), whole (a document, or an array of documents, a file), array
+    (as whole, for arrays of any size: each element is a document, and many tasks read one file)
     or concatenated (documents one after the other, over lines or within one; what is between them and is neither white
     space, comma nor a scalar is a document that is no JSON).
     Root arrays are opened by the selection.
     """
     if form not in FORMATS:
         raise ValueError(f"form is one of {', '.join(FORMATS)}")
+    if form == "array":
+        if triple_quotes:
+            raise ValueError("arrays that are read by element have no triple quotes")
+        chunks = prepare(spark).read.option("lineSep", END).text(paths)
+        chunks = chunks.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
+        return elements(chunks).withColumn("document", F.try_parse_json("text"))
     return _with_values(_texts(prepare(spark).read, paths, form), form, triple_quotes)
 
 
 def stream_documents(spark: SparkSession, path: str, form: str = "lines", triple_quotes: bool = False, **options: str) -> DataFrame:
     """As read_documents(), for files that arrive in a folder."""
-    if form not in FORMATS:
-        raise ValueError(f"form is one of {', '.join(FORMATS)}")
+    if form not in FORMATS or form == "array":
+        raise ValueError(f"form is one of {', '.join(f for f in FORMATS if f != 'array')}")
     reader = prepare(spark).readStream.options(**options).option("wholetext", str(form != "lines").lower())
     texts = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return _with_values(texts, form, triple_quotes)

@@ -68,14 +68,14 @@ def test_builder():
     ("pattern", "path", "wanted"),
     [
         ("$", "$", True),
-        ("$.*", "$.prop1", True),
-        ("$.prop1", "$.*", False),
-        ("$.prop1", "$.prop1", True),
-        ("$..prop3", "$.prop1.prop2.prop3", True),
-        ("$..[prop1]prop3", "$.prop1.prop2.prop3", True),
-        ("$..[prop5]prop3", "$.prop1.prop2.prop3", False),
-        ("$..[prop1 && prop2]prop3", "$.prop1.prop2.prop3", True),
-        ("$..[!prop1]prop3", "$.prop1.prop2.prop3", False),
+        ("$.*", "$.sea", True),
+        ("$.sea", "$.*", False),
+        ("$.sea", "$.sea", True),
+        ("$..crew", "$.sea.ship.crew", True),
+        ("$..[sea]crew", "$.sea.ship.crew", True),
+        ("$..[air]crew", "$.sea.ship.crew", False),
+        ("$..[sea && ship]crew", "$.sea.ship.crew", True),
+        ("$..[!sea]crew", "$.sea.ship.crew", False),
         ("$..*", "$..a", True),
         ("$.*", "$..a", False),
         ("$.a", "$", False),

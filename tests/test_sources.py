@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,61 @@ def test_command_line(spark, tmp_path):
         assert main(["$.a"], out, err, spark, io.StringIO(text)) == code
         assert sorted(out.getvalue().split()) == found and said in err.getvalue()
     assert main(["--what", "$"], out, err, spark) == 2
+
+
+@pytest.mark.parametrize("split", [40, 97, 1000, 10**8])
+def test_array_by_element(spark, tmp_path, split):
+    """Arrays of odd elements, read in splits that begin anywhere: in strings, escapes and characters of many bytes."""
+    rng = random.Random(split)
+    odd = ["}", "{", "]", "[", ",", '"', "\\", "é€😀", " ", "\n", "x"]
+
+    def value(depth):
+        kind = rng.randrange(6 if depth else 3)
+        if kind < 2:
+            return "".join(rng.choice(odd) for _ in range(rng.randrange(12)))
+        if kind == 2:
+            return rng.choice([1, -2.5, None, True])
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 3 else {f"k{i}": value(depth - 1) for i in range(rng.randrange(4))}
+
+    wanted = []
+    for f in range(3):
+        data = [{"a": value(3), "n": i} for i in range(40)] + [[{"a": 1}], 5, "s", {}]
+        wanted += [json.dumps(x) for x in data]
+        (tmp_path / f"{f}.json").write_text(json.dumps(data, indent=f or None, ensure_ascii=False))
+    (tmp_path / "empty.json").write_text(" [ ] ")
+    (tmp_path / "none.json").write_text("")
+    with gzip.open(tmp_path / "z.json.gz", "wt") as f:
+        f.write('[{"a": "z}"} , {"a": 2}]')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        found = read_documents(spark, str(tmp_path), "array")
+        good, bad = good_and_bad(found)
+        assert sorted(json.dumps(json.loads(r.text)) for r in good.collect()) == sorted([*wanted, '{"a": "z}"}', '{"a": 2}'])
+        assert bad.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_array_with_faults(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"a": }, nonsense, {"a": 2}] after [{"a": 3}]')
+    (tmp_path / "b.json").write_text('[{"a": 4}, {"a": 5, "b": {')
+    good, bad = good_and_bad(read_documents(spark, str(tmp_path), "array"))
+    assert values(good) == ["1", "2", "3", "4"]
+    assert sorted(r["text"].strip() for r in bad.collect()) == sorted(['{"a": }', "nonsense", "after", '{"a": 5, "b": {'])
+    with pytest.raises(ValueError):
+        read_documents(spark, str(tmp_path), "array", triple_quotes=True)
+
+
+def test_one_element_over_many_splits(spark, tmp_path):
+    long = {"a": "x" * 5000, "b": [{"c": "}" * 300}] * 20}
+    (tmp_path / "a.json").write_text(json.dumps([long, {"a": 1}, long]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 512)
+    try:
+        found = [json.loads(r.text) for r in read_documents(spark, str(tmp_path), "array").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(str, found)) == sorted(map(str, [long, {"a": 1}, long]))
