@@ -1,9 +1,11 @@
 """Exact search for the greatest inner products, by KD-trees.
 
-Each task makes trees of SHARD vectors at a time: split at the median of the widest dimension, with the tight box of
-every node. A query goes through a tree best first: the node whose box allows the greatest product comes next,
-and the search ends where no box reaches the k-th product found so far, which is carried from shard to shard.
-Queries are taken in blocks of QUERIES, each broadcast; what tasks find is cut to k for each query.
+Vectors are dealt by hash to groups of bounded size. A task makes the trees of its group once, SHARD vectors each: split at
+the median of the widest dimension, with the tight box of every node. All queries come to each group, in blocks of
+QUERIES, and go through its trees best first: the tree, and in it the node, whose box allows the greatest product comes
+next, and the search ends where no box reaches the k-th product found so far, which is carried from tree to tree.
+What groups find is cut to k for each query. Queries are rows like the vectors: none is collected or broadcast, and
+the count of jobs doesn't depend on them. Shuffled are the vectors once, and the queries once for each group.
 
 Components become floor(1024 x), as integers; products of integers are exact (in doubles while they are below
 2 ** 53, else in Python's integers, and cut to the range of a long).
@@ -24,9 +26,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm._shared import map_batches, materialize, table
+from pathloom.llm._shared import map_batches, partitions, table
 
-SHARD, LEAF, QUERIES = 16384, 256, 2048
+SHARD, LEAF, QUERIES = 16384, 256, 1024
+#: Components of a group's vectors; in the task that searches it they take eight bytes each, twice while a tree is made.
+GROUP_VALUES = 1 << 22
 _EXACT = 2.0**53
 
 
@@ -37,6 +41,7 @@ class Tree:
         self.low, self.high, self.children, self.leaf = [], [], [], []
         self._add(vectors, ids, k)
         self.lows, self.highs = np.array(self.low), np.array(self.high)
+        self.reach, self.width = float(np.abs(vectors).max(initial=0)), vectors.shape[1]
 
     def _add(self, v: np.ndarray, ids: np.ndarray, k: int) -> int:
         me = len(self.low)
@@ -94,25 +99,25 @@ class Best:
         first = np.sort(first)[: self.k]
         self.score[i], self.ids[i] = score[first], ids[first]
 
-    def search(self, v: np.ndarray, ids: np.ndarray) -> None:
-        exact = float(np.abs(v).max(initial=0)) * self.reach * v.shape[1] < _EXACT
-        tree = Tree(v, ids, self.k)
-        allowed = tree.bounds(self.q)
-        # In doubles bounds may be rounded, where products are too large to be exact.
-        slack = 0.0 if exact else 1e-9
+    def search(self, trees: list[Tree]) -> None:
+        allowed = [t.bounds(self.q) for t in trees]
+        exact = [t.reach * self.reach * t.width < _EXACT for t in trees]
         for i in range(len(self.own)):
-            bound = allowed[i]
-            heap = [(-bound[0], 0)]
+            # In doubles bounds may be rounded, where products are too large to be exact.
+            slack = 0.0 if all(exact) else 1e-9
+            heap = [(-allowed[t][i, 0], t, 0) for t in range(len(trees))]
+            heapq.heapify(heap)
             while heap:
-                most, node = heapq.heappop(heap)
+                most, t, node = heapq.heappop(heap)
                 if -most + abs(most) * slack < self.kth(i):
                     break
+                tree = trees[t]
                 if tree.leaf[node] is not None:
                     rows, own = tree.leaf[node]
-                    self.take(i, _products(rows, self.q[i], exact), own)
+                    self.take(i, _products(rows, self.q[i], exact[t]), own)
                 else:
                     for child in tree.children[node]:
-                        heapq.heappush(heap, (-bound[child], child))
+                        heapq.heappush(heap, (-allowed[t][i, child], t, child))
 
 
 def scaled(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -134,51 +139,78 @@ def scaled(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.array(a, np.int64), np.floor(1024 * np.array(b))) for a, b in out.values()]
 
 
-def _searcher(block: list[tuple[np.ndarray, np.ndarray]], k: int):
+def _searcher(k: int):
+    """Rows sorted by (group, asked): a group's vectors, then its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {q.shape[1]: Best(ids, q, k) for ids, q in block}
-        held: dict[int, list] = {}
+        group, trees, rows, asked = None, {}, {}, {}
 
-        def flush(n: int) -> None:
-            parts = held.pop(n)
-            best[n].search(np.concatenate([v for _, v in parts]), np.concatenate([i for i, _ in parts]))
+        def plant(n: int) -> None:
+            parts = rows.pop(n)
+            trees.setdefault(n, []).append(Tree(np.concatenate([v for _, v in parts]), np.concatenate([i for i, _ in parts]), k))
 
-        for batch in batches:
-            for ids, v in scaled(batch):
-                n = v.shape[1]
-                if n in best:
-                    held.setdefault(n, []).append((ids, v))
-                    if sum(len(i) for i, _ in held[n]) >= SHARD:
-                        flush(n)
-        for n in list(held):
-            flush(n)
-        for b in best.values():
-            size = [len(s) for s in b.score]
+        def answer(n: int) -> Iterator[pa.RecordBatch]:
+            parts = asked.pop(n)
+            best = Best(np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]), k)
+            best.search(trees.get(n, []))
+            size = [len(s) for s in best.score]
             if sum(size):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.own, size)), pa.array(np.concatenate(b.ids)), pa.array(np.concatenate(b.score))], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.own, size)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.score))], names=["query_id", "vec_id", "score"])
+
+        def add(to: dict[int, list], ids: np.ndarray, v: np.ndarray) -> int:
+            """How many are held now."""
+            to.setdefault(v.shape[1], []).append((ids, v))
+            return sum(len(i) for i, _ in to[v.shape[1]])
+
+        for batch in batches:
+            keys = list(zip(batch.column("group").to_pylist(), batch.column("asked").to_pylist(), strict=True))
+            lo = 0
+            for hi in range(1, len(keys) + 1):
+                if hi < len(keys) and keys[hi] == keys[lo]:
+                    continue
+                if keys[lo][0] != group:
+                    for n in list(asked):
+                        yield from answer(n)
+                    group, trees, rows = keys[lo][0], {}, {}
+                for ids, v in scaled(batch.slice(lo, hi - lo)):
+                    n = v.shape[1]
+                    if not keys[lo][1]:
+                        if add(rows, ids, v) >= SHARD:
+                            plant(n)
+                        continue
+                    for m in list(rows):
+                        plant(m)
+                    if add(asked, ids, v) >= QUERIES:
+                        yield from answer(n)
+                lo = hi
+        for m in list(rows):
+            plant(m)
+        for n in list(asked):
+            yield from answer(n)
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score: for each query its k greatest products among the vectors.
+def valid(df: DataFrame) -> DataFrame:
+    """vec_id and embedding of the rows that take part."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite)
 
-    Both have vec_id and embedding. Queries are dealt by hash to blocks; each block goes over all vectors.
-    """
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: for each query its k greatest products among the vectors. Both have vec_id and embedding."""
     spark = vectors.sparkSession
-    asked = queries.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = materialize(asked, "queries")
-    blocks = max(1, -(-2 * asked.count() // QUERIES))
-    vectors = vectors.select("vec_id", "embedding")
-    found = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
-        block = scaled(part.combine_chunks().to_batches()[0]) if part.num_rows else []
-        if block:
-            hits = vectors.transform(map_batches, _searcher(block, k), "query_id long, vec_id long, score long")
-            found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rows = valid(vectors)
+    # Rows that are invalid are out before one of several with an id is chosen.
+    asked = valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    values = rows.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0
+    # Small inputs are dealt to all tasks too, as long as a group has some leaves' worth of vectors.
+    groups = max(1, -(-values // GROUP_VALUES), min(partitions(spark), values // (1 << 18)))
+    # The number of the input's partition, too: an id that many rows have isn't all in one group.
+    dealt = rows.select(F.pmod(F.xxhash64("vec_id", "embedding", F.spark_partition_id()), F.lit(groups)).cast("int").alias("group"), F.lit(False).alias("asked"), "vec_id", "embedding")
+    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(True).alias("asked"), "vec_id", "embedding")
+    met = dealt.unionByName(every).repartition(max(groups, partitions(spark)), "group").sortWithinPartitions("group", "asked")
+    found = met.transform(map_batches, _searcher(k), "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

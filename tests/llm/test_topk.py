@@ -31,6 +31,8 @@ def test_against_brute_force(spark, monkeypatch):
     rows += [(3000, None, "x"), (3001, [], "x"), (3010, [None] * 8, "x"), (3020, [float("nan")] + [1.0] * 7, "x"), (3030, [float("inf")] * 8, "x"), (None, [1.0] * 8, "x"), (3040, [1.0, 2.0], "x"), (3041, [3.0, -2.0], "x")]
     monkeypatch.setattr(K, "QUERIES", 60)
     assert found(spark, rows) == want(rows, 10)
+    monkeypatch.setattr(K, "GROUP_VALUES", 500)
+    assert found(spark, rows) == want(rows, 10)
     assert found(spark, rows, 3, 1) == want(rows, 3)
 
 
@@ -53,6 +55,23 @@ def test_repeated_and_few(spark):
     assert found(spark, rows) == [(10, 1, 11, 2097152), (10, 2, 12, -1048576)]
 
 
+def test_an_invalid_row_does_not_take_the_place_of_a_valid_one(spark):
+    rows = [(10, None, "x"), (10, [float("nan"), 1.0], "x"), (10, [1.0, 0.0], "x"), (11, [2.0, 0.0], "x"), (20, [None, 1.0], "x"), (20, [0.0, 1.0], "x")]
+    assert found(spark, rows) == [(10, 1, 11, 2097152), (10, 2, 20, 0), (20, 1, 10, 0), (20, 2, 11, 0)]
+
+
+def test_jobs_do_not_depend_on_the_queries(spark):
+    rng = random.Random(3)
+    rows = [(10 * i, [rng.gauss(0, 1) for _ in range(3)], "x") for i in range(3000)]
+    jobs = []
+    for n in (30, 3000):
+        spark.sparkContext.setJobGroup(f"queries-{n}", "")
+        found(spark, rows[:n])
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"queries-{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] <= 12
+
+
 def test_empty(spark):
     assert found(spark, [(1, None, "x")]) == []
     df = table(spark, [(1, [1.0], "x")]).where("false")
