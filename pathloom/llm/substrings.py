@@ -7,8 +7,9 @@ first go. Of the rest only those whose half window is repeated between different
 extended to twice the length; their full windows are compared with 128 bits of hash. No candidate survives
 that level, as the wanted length is reached.
 
-Groups are reduced where they arise (one entry for a slice of input, run and bucket), before the shuffle;
-hashes are dealt to buckets, so neither a hot passage nor a hot source gathers in one task.
+Groups are reduced where they arise, before the shuffle: in a slice of input one place of each run is left, and a task
+remembers runs that it met more than once, so a hot passage has about one entry for each task. Hashes are dealt to
+buckets, more of them for more text, so neither a hot passage nor a hot source gathers in one task.
 
 Defined results: null and empty texts have no words; null ids come before all others; rows that share an id
 are taken as one document (equal windows at equal places do not remove each other, and a text repeated under
@@ -34,6 +35,8 @@ NULL_ID = -(1 << 63)
 _BLOBS = "kind int, bucket int, h binary, c binary, docs binary, ref binary, a binary, n binary"
 _RUNS = "kind int, did long, tag int, a int, n int"
 GONE, ASK, OPEN = 0, 1, 2
+#: Bytes of text for a bucket of hashes; the hashes take about as much as the texts.
+BUCKET_BYTES = 16 << 20
 
 
 class _Places:
@@ -48,11 +51,11 @@ class _Places:
     def __len__(self) -> int:
         return len(self.h)
 
-    def resolved(self) -> tuple[_Places, _Places, np.ndarray]:
-        """Those that repeat an earlier equal one; the firsts (with all ties); for each first, whether its h is in an unequal one."""
+    def resolved(self) -> tuple[_Places, _Places, np.ndarray, np.ndarray]:
+        """Those that repeat an earlier equal one; the firsts (with all ties); for each first, whether its h is in an unequal one, and whether it has an equal one."""
         p = self.take(np.lexsort((self.a, self.did, self.c, self.h)))
         if not len(p):
-            return p, p, np.zeros(0, bool)
+            return p, p, np.zeros(0, bool), np.zeros(0, bool)
         new_h = np.concatenate([[True], p.h[1:] != p.h[:-1]])
         new = new_h | np.concatenate([[True], p.c[1:] != p.c[:-1]])
         group = np.cumsum(new) - 1
@@ -60,7 +63,29 @@ class _Places:
         gone = (p.did != p.did[head]) | (p.a != p.a[head])
         by_h = np.cumsum(new_h) - 1
         unequal = (np.bincount(by_h[new])[by_h] > 1)[~gone]
-        return p.take(gone), p.take(~gone), unequal
+        equal = (np.bincount(group)[group] > 1)[~gone]
+        return p.take(gone), p.take(~gone), unequal, equal
+
+
+class _Met:
+    """Places that a task has met and passed on, of hashes that it met more than once. A table of bounded size, in which later ones replace others."""
+
+    SIZE = 1 << 16
+
+    def __init__(self) -> None:
+        self.used = np.zeros(self.SIZE, bool)
+        self.at = _Places(*(np.zeros(self.SIZE, t) for t in (np.uint64, np.uint64, np.int64, np.int32, np.int64, np.int64)))
+
+    def repeats(self, p: _Places, equal: np.ndarray) -> np.ndarray:
+        """Which of p repeat an earlier place that has been passed on; the others are passed on now. equal: those met more than once in p's slice."""
+        i = (p.h & np.uint64(self.SIZE - 1)).astype(np.int64)
+        known = self.used[i] & (self.at.h[i] == p.h) & (self.at.c[i] == p.c)
+        late = known & ((p.did > self.at.did[i]) | (p.did == self.at.did[i]) & (p.a > self.at.a[i]))
+        keep = np.flatnonzero((equal | known) & ~late)
+        self.used[i[keep]] = True
+        for mine, theirs in zip((self.at.h, self.at.c, self.at.did, self.at.a), (p.h, p.c, p.did, p.a), strict=True):
+            mine[i[keep]] = theirs[keep]
+        return late
 
 
 def _pack(p: _Places, kind: int, bucket: np.ndarray, out: dict[str, list]) -> None:
@@ -99,13 +124,14 @@ def _run_batch(kind: int, p: _Places) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["kind", "did", "tag", "a", "n"])
 
 
-def _dealt(p: _Places, buckets: int) -> pa.RecordBatch:
+def _dealt(p: _Places, buckets: int, met: _Met) -> pa.RecordBatch:
     """Reduces a slice's places and packs what is left for the shuffle."""
     out: dict[str, list] = {k: [] for k in ("kind", "bucket", "h", "c", "docs", "ref", "a", "n")}
-    gone, firsts, _ = p.resolved()
-    _pack(firsts, OPEN, (firsts.h % np.uint64(buckets)).astype(np.int64), out)
-    key = W.mix(gone.did.astype(np.uint64) + gone.tag.astype(np.uint64))
-    _pack(gone, GONE, (key % np.uint64(buckets)).astype(np.int64), out)
+    gone, firsts, _, equal = p.resolved()
+    late = met.repeats(firsts, equal)
+    for part, kind in ((firsts.take(~late), OPEN), (gone, GONE), (firsts.take(late), GONE)):
+        key = part.h if kind == OPEN else W.mix(part.did.astype(np.uint64) + part.tag.astype(np.uint64))
+        _pack(part, kind, (key % np.uint64(buckets)).astype(np.int64), out)
     return _blob_batch(out)
 
 
@@ -169,9 +195,10 @@ def _windows_of(batch: pa.RecordBatch, window: int) -> _Places:
 
 def _emit(places: Callable[[pa.RecordBatch, int], _Places], window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
         for batch in batches:
             for part in W.slices(batch, "text"):
-                yield _dealt(places(part, window), buckets)
+                yield _dealt(places(part, window), buckets, met)
 
     return run
 
@@ -182,7 +209,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
-            gone, firsts, unequal = _unpack(held).resolved()
+            gone, firsts, unequal, _ = _unpack(held).resolved()
             held.clear()
             yield _run_batch(GONE, gone)
             yield _run_batch(ASK, firsts.take(unequal))
@@ -198,10 +225,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _level(keyed: DataFrame, places: Callable, window: int) -> DataFrame:
-    n = partitions(keyed.sparkSession)
-    blobs = keyed.transform(map_batches, _emit(places, window, 2 * n), _BLOBS)
-    return blobs.repartition(n, "bucket").sortWithinPartitions("kind", "bucket").transform(map_batches, _resolve, _RUNS)
+def _level(keyed: DataFrame, places: Callable, window: int, buckets: int) -> DataFrame:
+    """A bucket is a partition: hashes fill them evenly."""
+    blobs = keyed.transform(map_batches, _emit(places, window, buckets), _BLOBS)
+    return blobs.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind").transform(map_batches, _resolve, _RUNS)
 
 
 def _cut(window: int, text_only: bool):
@@ -230,11 +257,13 @@ def repeated_runs(keyed: DataFrame, window: int = 20) -> DataFrame:
     """
     if window < 2:
         raise ValueError("a window has at least two words")
-    first = materialize(_level(keyed.select("did", "tag", "text"), _runs_of, window), "substring-runs")
+    n_bytes = keyed.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(partitions(keyed.sparkSession), -(-n_bytes // BUCKET_BYTES))
+    first = materialize(_level(keyed.select("did", "tag", "text"), _runs_of, window, buckets), "substring-runs")
     ask = first.where(F.col("kind") == ASK).groupBy("did", "tag").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     # All columns of keyed: the caller's own join then reuses this one's exchange of the texts.
     asked = keyed.join(ask, ["did", "tag"])
-    second = _level(asked, _windows_of, window)
+    second = _level(asked, _windows_of, window, buckets)
     return first.where(F.col("kind") == GONE).unionByName(second.where(F.col("kind") == GONE)).drop("kind")
 
 

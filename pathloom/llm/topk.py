@@ -209,7 +209,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     # The number of the input's partition, too: an id that many rows have isn't all in one group.
     dealt = rows.select(F.pmod(F.xxhash64("vec_id", "embedding", F.spark_partition_id()), F.lit(groups)).cast("int").alias("group"), F.lit(False).alias("asked"), "vec_id", "embedding")
     every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(True).alias("asked"), "vec_id", "embedding")
-    met = dealt.unionByName(every).repartition(max(groups, partitions(spark)), "group").sortWithinPartitions("group", "asked")
+    met = dealt.unionByName(every).repartitionById(groups, F.col("group")).sortWithinPartitions("asked")
     found = met.transform(map_batches, _searcher(k), "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
