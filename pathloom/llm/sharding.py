@@ -16,10 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm._shared import table
+from pathloom.llm._shared import free_name, table
 
-#: A prime; also the bound of what is broadcast.
+#: A prime; and the bound of a table that is broadcast (some 30 MB).
 SLOTS = 65537
+MOST_SLOTS = 1 << 20
 SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
 
 
@@ -55,21 +56,27 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
-def with_shard(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, slot: str = "slot", shard: str = "shard") -> DataFrame:
-    """df with the columns slot and shard; no shuffle."""
-    if {slot, shard} & set(df.columns):
-        raise ValueError(f"df has a column {slot} or {shard}; give other names")
-    spark = df.sparkSession
-    held = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], f"`__loom_slot` int, `{shard}` string")
+def with_shard(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """df with the columns slot and shard (with underscores before these names where df has them); no shuffle."""
+    if slots > MOST_SLOTS:
+        raise ValueError(f"a table of more than {MOST_SLOTS} slots isn't broadcast")
+    slot, shard = free_name(df.columns, "slot"), free_name(df.columns, "shard")
+    place = free_name([*df.columns, slot, shard], "place")
+    held = df.sparkSession.createDataFrame([(i, shards[s]) for i, s in enumerate(lookup_table(shards, slots))], f"`{place}` int, `{shard}` string")
     placed = df.withColumn(slot, slot_of(F.col(f"`{key}`"), slots))
-    return placed.join(F.broadcast(held), F.col(f"`{slot}`") == F.col("__loom_slot")).drop("__loom_slot")
+    return placed.join(F.broadcast(held), F.col(slot) == F.col(place)).drop(place)
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: Sequence[str] = SHARDS, files: int = 4) -> None:
-    """A folder shard=... for each shard, of `files` files each."""
+    """A folder shard=... for each shard, of `files` files each (_shard=... where df has such a column).
+
+    Rows of one key are in one shard, but in all of its files: a frequent key doesn't gather in one task.
+    """
     placed = with_shard(df, key, shards)
-    placed = placed.withColumn("__loom_file", F.pmod(F.xxhash64(F.col("slot"), F.col(f"`{key}`")), F.lit(files)))
-    placed.repartition(len(shards) * files, "shard", "__loom_file").drop("slot", "__loom_file").write.partitionBy("shard").parquet(path)
+    slot, shard = placed.columns[-2:]
+    file = free_name(placed.columns, "file")
+    placed = placed.withColumn(file, F.pmod(F.xxhash64(f"`{key}`", F.spark_partition_id()), F.lit(files)))
+    placed.repartition(len(shards) * files, shard, file).drop(slot, file).write.partitionBy(shard).parquet(path)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

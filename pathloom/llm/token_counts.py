@@ -20,9 +20,10 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.llm import _words as W
-from pathloom.llm._shared import map_batches, table
+from pathloom.llm._shared import free_name, map_batches, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary's texts are cut before merging (fixed by the vocabulary).
@@ -97,7 +98,7 @@ def section_tokens(documents: DataFrame, rule: str = "first", vocabulary: str =
 
 
 def field_tokens(df: DataFrame, key: str, fields: Sequence[str], between: str = "\n", rule: str = "first", vocabulary: str = VOCABULARY) -> DataFrame:
-    """key, field and n_tokens: fields are joined by `between`, which belongs to the field before it, and encoded as one."""
+    """key, field and n_tokens (_field or _n_tokens if the key is named so): fields are joined by `between`, which belongs to the field before it, and encoded as one."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     parts = F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in fields))
@@ -112,9 +113,10 @@ def field_tokens(df: DataFrame, key: str, fields: Sequence[str], between: str =
                 rows.append((i, text, np.cumsum([0, *sizes[:-1]]), text.encode()))
             yield from _counted(iter(rows), vocabulary, rule, batch.column("key").type)
 
-    kind = df.schema[key].dataType.simpleString()
-    found = df.select(F.col(f"`{key}`").alias("key"), parts.alias("parts")).transform(map_batches, run, f"doc_id {kind}, section int, n_chars long, n_tokens long")
-    return found.select(F.col("doc_id").alias(key), F.get(F.array(*map(F.lit, fields)), F.col("section")).alias("field"), "n_tokens")
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("section", T.IntegerType()), T.StructField("n_chars", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    found = df.select(F.col(f"`{key}`").alias("key"), parts.alias("parts")).transform(map_batches, run, schema)
+    return found.select(F.col("doc_id").alias(key), F.get(F.array(*map(F.lit, fields)), F.col("section")).alias(free_name([key], "field")), F.col("n_tokens").alias(free_name([key], "n_tokens")))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,5 +56,15 @@ def test_wrong(documents, empty):
     for names, slots in (([], 13), (["a", "a"], 13), (["a"], 12), (["a", "b", "c"], 2)):
         with pytest.raises(ValueError):
             S.lookup_table(names, slots)
+    named = S.with_shard(documents.withColumnRenamed("lang", "Slot").withColumnRenamed("source", "place"), "doc_id")
+    assert named.columns[-2:] == ["_slot", "shard"] and named.count() == documents.count()
     with pytest.raises(ValueError):
-        S.with_shard(documents.withColumnRenamed("lang", "slot"), "doc_id")
+        S.with_shard(documents, "doc_id", slots=S.MOST_SLOTS + 7)
+
+
+def test_a_frequent_key_has_all_files_of_its_shard(spark, tmp_path):
+    df = spark.range(4000).selectExpr("IF(id % 3 = 0, NULL, 7) AS k", "id AS shard", "id AS slot").repartition(16)
+    S.write_shards(df, "k", str(tmp_path / "out"), files=4)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == 4000 and found.where("k = 7").select("_metadata.file_path").distinct().count() >= 3
+    assert found.groupBy("k").agg({"_shard": "count"}).count() == 2 and found.select("_shard").distinct().count() <= 2

@@ -68,3 +68,9 @@ def test_empty(empty):
     assert T.section_tokens(empty).count() == 0
     with pytest.raises(ValueError):
         T.section_tokens(empty, "middle")
+
+
+def test_keys_of_any_name_and_type(spark):
+    df = spark.sql("SELECT named_struct('a b', 1) AS field, 'one two' AS x, 'three' AS y")
+    out = T.field_tokens(df, "field", ["x", "y"])
+    assert out.columns == ["field", "_field", "n_tokens"] and sorted(r["_field"] for r in out.collect()) == ["x", "y"]
