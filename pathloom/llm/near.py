@@ -204,14 +204,18 @@ def near_links(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     texts = documents.select("doc_id", "text")
     rows = materialize(texts.transform(map_batches, _features(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "minhash")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first"))
-    same = known.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    # A table, so that the join below has an exchange on either side and a class of very many copies is split in it.
+    classes = materialize(known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
+    same = known.select("doc_id", "s1", "s2", "n_shingles").join(classes.where("copies > 1"), ["s1", "s2", "n_shingles"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     # The id is in the join's key too, so copies are dealt out evenly.
     firsts = known.join(classes.select("s1", "s2", "n_shingles", F.col("first").alias("doc_id")), ["s1", "s2", "n_shingles", "doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = firsts.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = materialize(buckets, "buckets")
     members = firsts.join(buckets, ["band", "key"]).where("id <> centre").select("centre", "id", "n_shingles").distinct()
     members = materialize(members, "members")
+    # Texts are shuffled once, and of these only those of members stay.
+    wanted = members.select("id").unionByName(members.select(F.col("centre").alias("id"))).distinct()
+    texts = materialize(texts.hint("merge").join(wanted, F.col("doc_id") == F.col("id")).select("id", "text"), "member-texts")
     own = members.groupBy("centre").agg(_blocks().alias("blocks"))
     stars = _in_blocks(members.join(own, "centre")).withColumn("side", F.lit(0)).select("centre", F.col("block").alias("lo"), F.lit(CENTRE).alias("hi"), "id", "side")
     centres = stars.select("centre", "lo", "hi").distinct().withColumns({"id": F.col("centre"), "side": F.lit(1)})
@@ -231,7 +235,7 @@ def near_links(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     back = back.select("centre", F.col("other").alias("lo"), (-2 - F.col("block")).alias("hi"), "id", F.lit(1).alias("side"))
     alike = _meet(among.unionByName(to).unionByName(back), texts, k, percent)
     links = materialize(alike.unionByName(close).unionByName(same), "links")
-    discard(buckets, members, close, told)
+    discard(classes, buckets, members, texts, close, told)
     return rows, links
 
 
@@ -252,7 +256,7 @@ def _in_blocks(members: DataFrame) -> DataFrame:
 def _meet(places: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) among what meets in one place (centre, lo, hi); places has id and side too, and only sides that differ are compared if lo and hi do."""
     # A merge join at every size: how many places there are is unknown, and a plan that changes with it can't be judged by small runs.
-    met = places.join(texts.where("doc_id IS NOT NULL").hint("merge"), F.col("id") == F.col("doc_id")).drop("doc_id")
+    met = places.join(texts.hint("merge"), "id")
     met = met.repartition(partitions(places.sparkSession), "centre", "lo", "hi").sortWithinPartitions("centre", "lo", "hi")
     return met.transform(map_batches, _verify(k, percent), "a long, b long")
 
