@@ -216,14 +216,14 @@ def near_links(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     # Texts are shuffled once, and of these only those of members stay.
     wanted = members.select("id").unionByName(members.select(F.col("centre").alias("id"))).distinct()
     texts = materialize(texts.hint("merge").join(wanted, F.col("doc_id") == F.col("id")).select("id", "text"), "member-texts")
-    own = members.groupBy("centre").agg(_blocks().alias("blocks"))
+    own = materialize(members.groupBy("centre").agg(_blocks().alias("blocks")), "blocks")
     stars = _in_blocks(members.join(own, "centre")).withColumn("side", F.lit(0)).select("centre", F.col("block").alias("lo"), F.lit(CENTRE).alias("hi"), "id", "side")
     centres = stars.select("centre", "lo", "hi").distinct().withColumns({"id": F.col("centre"), "side": F.lit(1)})
     close = materialize(_meet(stars.unionByName(centres), texts, k, percent), "stars")
     # Who is left, and their groups with all members; the centre itself is in them as a linked one.
     told = members.join(close.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("centre"), F.lit(True).alias("linked")).distinct(), ["centre", "id"], "left")
     told = told.withColumn("rest", F.isnull("linked")).drop("linked")
-    sizes = told.groupBy("centre").agg(_blocks(F.col("rest")).alias("n_rest"), _blocks(~F.col("rest")).alias("n_linked")).where("n_rest > 0")
+    sizes = materialize(told.groupBy("centre").agg(_blocks(F.col("rest")).alias("n_rest"), _blocks(~F.col("rest")).alias("n_linked")).where("n_rest > 0"), "sizes")
     told = materialize(told.join(sizes, "centre"), "rest")
     rest = _in_blocks(told.where("rest").withColumnRenamed("n_rest", "blocks"))
     linked_ones = _in_blocks(told.where("NOT rest").withColumn("blocks", F.col("n_linked")))
@@ -235,7 +235,7 @@ def near_links(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[Dat
     back = back.select("centre", F.col("other").alias("lo"), (-2 - F.col("block")).alias("hi"), "id", F.lit(1).alias("side"))
     alike = _meet(among.unionByName(to).unionByName(back), texts, k, percent)
     links = materialize(alike.unionByName(close).unionByName(same), "links")
-    discard(classes, buckets, members, texts, close, told)
+    discard(classes, buckets, members, texts, own, close, sizes, told)
     return rows, links
 
 
