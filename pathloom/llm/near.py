@@ -47,17 +47,21 @@ def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     own = doc[: len(g)] == doc[k - 1 :] if len(g) else np.zeros(0, bool)
     g, d = g[own], doc[: len(g)][own]
     n = w.counts
-    short = np.flatnonzero((n > 0) & (n < k))
-    if len(short):
+    short = (n > 0) & (n < k)
+    size = np.where(short, 1, np.maximum(n - k + 1, 0))
+    at = np.concatenate([[0], np.cumsum(size)])
+    every = np.empty(at[-1], np.uint64)
+    # Texts are in order; before a shingle are also those of short texts, of which each has one.
+    every[np.arange(len(g)) + np.cumsum(short)[d]] = g
+    for i in np.flatnonzero(short):
         # The whole of a short text: its words in order, and how many they are.
-        whole = [int(W.mix(W.grams(words[w.first[i] : w.first[i + 1]], int(n[i])) + n[i].astype(np.uint64))[0]) for i in short]
-        g, d = np.concatenate([g, np.array(whole, np.uint64)]), np.concatenate([d, short])
-    order = np.lexsort((g, d))
-    g, d = g[order], d[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
-    g, d = g[new], d[new]
-    return g, np.searchsorted(d, np.arange(count + 1))
+        every[at[i]] = W.mix(W.grams(words[w.first[i] : w.first[i + 1]], int(n[i])) + n[i].astype(np.uint64))[0]
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        every[lo:hi].sort()
+    d = np.repeat(np.arange(count), size)
+    new = np.ones(len(every), bool)
+    new[1:] = (every[1:] != every[:-1]) | (d[1:] != d[:-1])
+    return every[new], np.concatenate([[0], np.cumsum(np.bincount(d[new], minlength=count))])
 
 
 def minima(g: np.ndarray, bounds: np.ndarray, many: int) -> np.ndarray:
