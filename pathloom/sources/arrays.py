@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 END = "}"
 _ESCAPED = re.compile(rb"\\.", re.S)
 _OPEN, _CLOSE = (np.isin(np.arange(256), [ord(c) for c in cs]).astype(np.int8) for cs in ("[{", "]}"))
+_SIGN = np.isin(np.arange(256), [ord(c) for c in '"[]{},'])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], bytes, int]]:
@@ -38,10 +39,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int],
                 lo = hi
 
 
-def _marks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a text without its escapes, and for each the count of quotes up to it."""
+def _marks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of quotes, commas and brackets that aren't escaped, what is there, and the count of quotes up to each."""
     a = np.frombuffer(_ESCAPED.sub(b"  ", data) if b"\\" in data else data, np.uint8)
-    return a, np.cumsum(a == 0x22)
+    at = np.flatnonzero(_SIGN[a])
+    a = a[at]
+    return at, a, np.cumsum(a == 0x22)
 
 
 def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +55,7 @@ def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pylist([dict(zip(("file", "block", "quotes", "outside", "inside"), (*key, *held), strict=True))], _EFFECTS)
 
     def add(data: bytes) -> None:
-        a, quotes = _marks(data)
+        _, a, quotes = _marks(data)
         change = _OPEN[a] - _CLOSE[a]
         odd = (quotes & 1).astype(bool)
         even, rest = int(change[~odd].sum()), int(change[odd].sum())
@@ -89,14 +92,15 @@ def _cutter(starts: dict[tuple[str, int], tuple[int, int, bool]]):
 
         def cut(data: bytes) -> list[tuple[int, bytes]]:
             nonlocal odd, depth, cuts, held
-            a, quotes = _marks(data)
+            places, a, quotes = _marks(data)
             if not len(a):
+                held.append(data)
                 return []
             out = ((quotes + odd) & 1 == 0) & (a != 0x22)
             change = np.where(out, _OPEN[a] - _CLOSE[a], 0)
             deep = depth + np.cumsum(change)
             # Commas between elements, and the brackets of the arrays themselves.
-            at = np.flatnonzero(out & ((a == 0x2C) & (deep == 1) | (a == 0x5B) & (deep == 1) | (a == 0x5D) & (deep == 0)))
+            at = places[out & ((a == 0x2C) & (deep == 1) | (a == 0x5B) & (deep == 1) | (a == 0x5D) & (deep == 0))]
             odd, depth = (odd + int(quotes[-1])) & 1, int(deep[-1])
             found, begin = [], 0
             for x in at.tolist():
