@@ -32,10 +32,20 @@ def plain_quotes(text: Column | str) -> Column:
     return F.array_join(quoted, "")
 
 
+#: Characters of documents that a task holds at once, besides its file.
+SPLIT_CHARS, SPLIT_ROWS = 1 << 20, 10_000
+
+
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for file, text in zip(batch["file"], batch["text"], strict=True):
-            found = list(split_documents(text))
+            found, held = [], 0
+            for document in split_documents(text):
+                found.append(document)
+                held += len(document)
+                if held >= SPLIT_CHARS or len(found) >= SPLIT_ROWS:
+                    yield pd.DataFrame({"file": file, "text": found})
+                    found, held = [], 0
             if found:
                 yield pd.DataFrame({"file": file, "text": found})
 

@@ -5,12 +5,13 @@ import io
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom import good_and_bad, read_documents, select, select_stream, stream_documents, strictly
 from pathloom.cli import main
-from pathloom.sources.readers import plain_quotes, split_documents
+from pathloom.sources.readers import SPLIT_CHARS, SPLIT_ROWS, _split, plain_quotes, split_documents
 from pathloom.sources.sinks import on_rows, stream_values, write_values
 
 
@@ -56,6 +57,15 @@ def test_split_documents():
     assert list(split_documents('{"a\\"}": 1}{}')) == ['{"a\\"}": 1}', "{}"]
 
 
+def test_documents_of_a_file_leave_it_in_parts():
+    """One file's documents are never held all at once."""
+    for each, n in (('{"a": 1}', 3 * SPLIT_ROWS + 1), ('{"a": "' + "x" * (SPLIT_CHARS // 3) + '"}', 10)):
+        parts = list(_split(iter([pd.DataFrame({"file": ["f", "g"], "text": [(each + " no ") * n, each]})])))
+        assert all(len(p) <= SPLIT_ROWS and p["text"].str.len().sum() < 2 * SPLIT_CHARS for p in parts)
+        found = [(f, t) for p in parts for f, t in zip(p["file"], p["text"], strict=True)]
+        assert found == [("f", each), ("f", "no")] * n + [("g", each)]
+
+
 def test_triple_quotes(spark, tmp_path):
     text = '{"t1": "", "t2": """raw "quoted"\n back\\slash \\n""", "t3": "\\"", "t4": "a \\" b"}'
     (tmp_path / "a.json").write_text(text)
