@@ -446,9 +446,12 @@ def source_whole_array(spark: SparkSession, d: str) -> DataFrame:
 def source_large_array(spark: SparkSession, d: str) -> DataFrame:
     """One file that is one array, read by element. (One task writes it, line by line, as it is one file.)"""
     path = _folder(spark, "array")
-    lines = _event_lines(spark, d).select(F.concat("value", F.lit(",")).alias("value"), F.lit(1).alias("n"))
-    around = spark.createDataFrame([("[", 0), ("null]", 2)], "value string, n int")
-    lines.unionByName(around).repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+    lines = _event_lines(spark, d)
+    last = lines.count() - 1
+    # Lines are numbered as they come, so that the first and the last are known without a sort of them all.
+    at = F.monotonically_increasing_id()
+    one = lines.repartition(1).select("value", at.alias("n"))
+    one.select(F.concat(F.when(F.col("n") == 0, "[").otherwise(""), "value", F.when(F.col("n") == last, "]").otherwise(",")).alias("value")).write.text(path)
     return _event_types(select(read_documents(spark, path, "array").select("document"), "document", "${type}"))
 
 

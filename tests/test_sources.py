@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pathloom import good_and_bad, read_documents, select, select_stream, stream_documents, strictly
 from pathloom.cli import main
+from pathloom.queries import source_large_array
 from pathloom.sources.readers import SPLIT_CHARS, SPLIT_ROWS, _split, plain_quotes, split_documents
 from pathloom.sources.sinks import on_rows, stream_values, write_values
 
@@ -187,3 +188,19 @@ def test_one_element_over_many_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(map(str, found)) == sorted(map(str, [long, {"a": 1}, long]))
+
+
+def test_large_array_is_written_without_a_sort(spark, tmp_path):
+    """Its one task holds nothing that grows with the lines; the file is one array all the same."""
+    d = str(tmp_path)
+    spark.range(5000).selectExpr("id AS event_id", "concat('t', id) AS event_type").repartition(3).write.parquet(f"{d}/events.parquet")
+    written, write = [], type(spark.range(1).write).text
+    type(spark.range(1).write).text = lambda self, path, *a, **b: (written.append((self._df._jdf.queryExecution().executedPlan().toString(), path)), write(self, path, *a, **b))[1]
+    try:
+        assert source_large_array(spark, d).count() == 5000
+    finally:
+        type(spark.range(1).write).text = write
+    (plan, path) = written[0]
+    assert "Sort" not in plan
+    (text,) = [r[0] for r in spark.read.text(path, wholetext=True).collect()]
+    assert sorted(x["event_id"] for x in json.loads(text)) == list(range(5000))
