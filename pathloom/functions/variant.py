@@ -42,6 +42,11 @@ def is_array(v: str) -> str:
     return f"(variant_get({v}, '$[0]', 'variant') IS NOT NULL)"
 
 
+def is_object(v: str) -> str:
+    """SQL: whether v is an object. None of its members is copied."""
+    return f"(try_cast({v} AS struct<>) IS NOT NULL)"
+
+
 def kind_of(v: str) -> str:
     """SQL: 'null', 'array', 'object' or 'scalar'. Reads the value's first level only."""
     return f"CASE WHEN is_variant_null({v}) THEN 'null' WHEN try_cast({v} AS array<variant>) IS NOT NULL THEN 'array' WHEN try_cast({v} AS map<string, variant>) IS NOT NULL THEN 'object' ELSE 'scalar' END"

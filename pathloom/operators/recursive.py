@@ -1,4 +1,8 @@
-"""Selection from VARIANT values of any depth, in batch: a recursive query over their members."""
+"""Selection from VARIANT values of any depth, in batch: a recursive query over their members.
+
+Each round opens LEVELS levels, as those of unrolled(), and keeps only what is reached and what is left to open: rounds are
+written to disk, and a document of no more levels leaves nothing there but what is reached.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,11 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from pathloom.functions.variant import advanced
-from pathloom.operators.unrolled import LAST, _finished
+from pathloom.operators.unrolled import ALIVE, LAST_ORD, OPENED, OPENS, _finished, moved, ways
 from pathloom.plans.ast import PathExpr
 
+LEVELS = 6
+
 
 def recursive(df: DataFrame, path: PathExpr, *, index: bool) -> DataFrame:
     """As unrolled(), but no depth is set. Lifts the session's limits on recursion; streams have no such query."""
@@ -21,21 +26,25 @@ def recursive(df: DataFrame, path: PathExpr, *, index: bool) -> DataFrame:
     view = f"_documents_{uuid.uuid4().hex}"
     df.where("_v IS NOT NULL").createOrReplaceTempView(view)
     own = [f"`{c}`" for c in df.columns if c != "_v"]
-    accept = 1 << len(path.steps)
-    shown = "CASE WHEN e.key IS NOT NULL THEN concat(w._shown, array(e.key)) " + ("WHEN size(w._path) > 0 THEN concat(w._shown, array(CAST(e.pos AS string))) " if index else "") + "ELSE w._shown END"
+
+    def row(**columns: str) -> str:
+        names = ("_v", "_s", "_path", "_shown", "_ord", "_k")
+        return ", ".join([*own, *(f"{columns[n]} AS {n}" if n in columns else n for n in names)])
+
+    def told(rows: str) -> str:
+        return f"SELECT {row(_ord=LAST_ORD, _k='_way')} FROM (SELECT *, explode({ways(path)}) AS _way FROM ({rows}))"
+
+    def opened(rows: str) -> str:
+        for _ in range(LEVELS):
+            members = f"SELECT r.*, e.* FROM ({rows}) r, LATERAL variant_explode_outer({OPENS}) AS e(_pos, _key, _value) WHERE {OPENED}"
+            rows = told(f"SELECT * FROM (SELECT {row(**moved(path, index))} FROM ({members})) WHERE {ALIVE}")
+        # What is reached is not asked again for the keys above it.
+        return f"SELECT {row(_path='CASE WHEN _k = 0 THEN _path END')} FROM ({rows})"
+
+    root = row(_s="1", _path="CAST(array() AS array<string>)", _shown="CAST(array() AS array<string>)", _ord="CAST(array() AS array<int>)", _k="0")
     walk = f"""
-        WITH RECURSIVE w AS (
-          SELECT {", ".join([*own, "_v"])}, 1 AS _s, CAST(array() AS array<string>) AS _path, CAST(array() AS array<string>) AS _shown, CAST(array() AS array<int>) AS _ord FROM {view}
-          UNION ALL
-          SELECT * FROM (
-            SELECT {", ".join([*(f"w.{c}" for c in own), "e.value AS _v"])},
-              CASE WHEN e.key IS NULL THEN w._s ELSE {advanced(path, "w._s", "w._path", "e.key")} END AS _s,
-              CASE WHEN e.key IS NULL THEN w._path ELSE concat(w._path, array(e.key)) END AS _path,
-              {shown} AS _shown, concat(w._ord, array(e.pos)) AS _ord
-            FROM w, LATERAL variant_explode(w._v) e
-          ) WHERE _s <> 0
-        )
-        SELECT {", ".join([*own, "_v", "_shown"])}, concat(_ord, array({LAST})) AS _ord FROM w WHERE (_s & {accept}) <> 0
+        WITH RECURSIVE w AS ({opened(told(f"SELECT {root} FROM {view}"))} UNION ALL {opened("SELECT * FROM w WHERE _k = 0")})
+        SELECT {", ".join([*own, "_v", "_shown", "_ord", "_k"])} FROM w WHERE _k > 0
     """
     found = spark.sql(walk)
     spark.catalog.dropTempView(view)
