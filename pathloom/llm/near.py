@@ -17,12 +17,13 @@ go); equal sets are linked whatever their ids. Other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pathloom.llm import _words as W
 from pathloom.llm._shared import discard, free_name, map_batches, materialize, partitions, table
@@ -41,8 +42,11 @@ _B = _RNG.integers(0, 1 << 64, MINIMA, dtype=np.uint64)
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text, ascending, and the bounds of each text's."""
-    w = W.split(texts, lower=True)
-    words, doc, count = W.hashes(w), w.owner(), len(texts)
+    return shingles_of(W.split(texts, lower=True), k)
+
+
+def shingles_of(w: W.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    words, doc, count = W.hashes(w), w.owner(), len(w.first) - 1
     g = W.mix(W.grams(words, k))
     own = doc[: len(g)] == doc[k - 1 :] if len(g) else np.zeros(0, bool)
     g, d = g[own], doc[: len(g)][own]
@@ -80,11 +84,14 @@ def minima(g: np.ndarray, bounds: np.ndarray, many: int) -> np.ndarray:
     return out
 
 
-def _features(k: int):
+def _features(k: int, words: bool, beside: list[str]):
+    names = ["doc_id", "n_shingles", "s1", "s2", "bands", *["n_words"] * words, *beside]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text", W.SMALL_SLICE):
-                g, bounds = shingles(part.column("text"), k)
+                w = W.split(part.column("text"), lower=True)
+                g, bounds = shingles_of(w, k)
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
                 sums = np.zeros((2, part.num_rows), np.uint64)
@@ -100,7 +107,8 @@ def _features(k: int):
                     offsets = np.zeros(part.num_rows + 1, np.int32)
                     np.cumsum(BANDS * (n > 0), out=offsets[1:])
                     bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.T.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in sums), bands], names=["doc_id", "n_shingles", "s1", "s2", "bands"])
+                counted = [pa.array(w.counts.astype(np.int64))] if words else []
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in sums), bands, *counted, *(part.column(c) for c in beside)], names=names)
 
     return run
 
@@ -202,11 +210,16 @@ def _verify(k: int, percent: int):
     return run
 
 
-def near_links(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Features of all rows (doc_id, n_shingles, s1, s2), and links (a, b) that connect what is alike."""
+def near_links(documents: DataFrame, k: int = 5, percent: int = 80, words: bool = False, beside: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Features of all rows (doc_id, n_shingles, s1, s2), and links (a, b) that connect what is alike.
+
+    words: rows have n_words too. beside: columns of documents that rows keep; none has a name of theirs.
+    """
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
-    rows = materialize(texts.transform(map_batches, _features(k), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "minhash")
+    schema = T.StructType.fromDDL("doc_id long, n_shingles long, s1 long, s2 long, bands array<long>" + ", n_words long" * words)
+    schema = T.StructType([*schema.fields, *documents.select(*beside).schema.fields])
+    rows = materialize(documents.select("doc_id", "text", *beside).transform(map_batches, _features(k, words, list(beside)), schema), "minhash")
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     # A table, so that the join below has an exchange on either side and a class of very many copies is split in it.
     classes = materialize(known.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")

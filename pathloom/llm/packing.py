@@ -97,12 +97,17 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, cluster: Column | None
     cluster: what tells duplicate clusters, a long; else exact copies are one. clusters: node and component of the ids (see
     known_ids) whose cluster is not just their own.
     """
-    if capacity < 1:
-        raise ValueError("a bin holds at least one word")
-    spark = documents.sparkSession
     cluster = F.xxhash64("text") if cluster is None else cluster
     cluster = F.when(F.col("text").isNotNull() & (F.col("text") != ""), cluster)
     whole = documents.select("doc_id", "source", cluster.alias("cluster"), F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("n"))
+    return _packed(whole, capacity, group, clusters)
+
+
+def _packed(whole: DataFrame, capacity: int, group: int, clusters: DataFrame | None) -> DataFrame:
+    """As pack(), of documents without their texts: doc_id, source, cluster (NULL for no text), h (the text's hash) and n (words)."""
+    if capacity < 1:
+        raise ValueError("a bin holds at least one word")
+    spark = whole.sparkSession
     if clusters is not None:
         own = F.coalesce("doc_id", "h")
         whole = whole.join(clusters.select("node", "component"), own == F.col("node"), "left").withColumn("cluster", F.when(F.col("cluster").isNotNull(), F.coalesce("component", own))).drop("node", "component")
@@ -121,6 +126,9 @@ def known_ids(documents: DataFrame) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    _, links = near.near_links(known_ids(documents))
-    return pack(documents, clusters=components(links))
+    """As pack() of the documents and their components. Words are counted where they are split for shingles, and texts read once for both."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    texts = known_ids(documents.withColumns({"own_id": F.col("doc_id"), "h": F.xxhash64("text"), "filled": F.coalesce(F.col("text") != "", F.lit(False))}))
+    rows, links = near.near_links(texts, words=True, beside=["own_id", "source", "h", "filled"])
+    whole = rows.select(F.col("own_id").alias("doc_id"), "source", F.when(F.col("filled"), F.col("h")).alias("cluster"), "h", F.col("n_words").alias("n"))
+    return _packed(whole, CAPACITY, GROUP, components(links))

@@ -67,3 +67,14 @@ def test_near_copies_are_kept_apart(spark, tmp_path):
     # The copies are the pieces of 200 words.
     bins = [r.bin_id for r in out if r.n_words == 200]
     assert len(bins) == 32 == len(set(bins))
+
+
+def test_registered_query_counts_words_where_it_splits_them(spark, tmp_path, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(3000))
+    data = [(1, text, "a"), (2, text + " end", "b"), (3, None, "a"), (None, "no\u00a0id\there", None), (5, "", "b"), (6, " \x0b a  b\n", "c"), (6, "a", "c"), (8, None, None)]
+    documents = spark.createDataFrame(data, "doc_id long, text string, source string")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    _, links = P.near.near_links(P.known_ids(documents))
+    want = sorted(map(str, P.pack(documents, clusters=P.components(links)).collect()))
+    monkeypatch.setattr(P, "n_words", None)
+    assert sorted(map(str, P.op5_best_fit_packing(spark, str(tmp_path)).collect())) == want
