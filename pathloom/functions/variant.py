@@ -38,8 +38,8 @@ def descend(v: str, keys: Iterable[str]) -> str:
 
 
 def is_array(v: str) -> str:
-    """SQL: whether v is an array that isn't empty."""
-    return f"(variant_get({v}, '$[0]', 'variant') IS NOT NULL)"
+    """SQL: whether v is an array that isn't empty; NULL if it is none. None of its elements is copied; variant_get leaves by an exception where it finds nothing."""
+    return f"(size(try_cast({v} AS array<struct<>>)) > 0)"
 
 
 def is_object(v: str) -> str:

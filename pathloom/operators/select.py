@@ -89,9 +89,12 @@ def select(
         flat = all(not s.deep and s.test is not None for s in compiled.steps)
         deep = None
         if unknown and not flat:
-            limit = fits(_as_text(inner), compiled, include_array_index or ordered, max_depth, array_depth)
-            deep = _in_python(inner.where(~limit), compiled, include_array_index)
-            inner = inner.where(limit)
+            limit = (compiled, include_array_index or ordered, max_depth, array_depth)
+            deep = _in_python(_made(inner).where(~fits(F.col("_doc"), *limit)), compiled, include_array_index)
+            if isinstance(kind, T.StringType):
+                inner = _made(inner).where(fits(F.col("_doc"), *limit))
+            else:
+                inner = inner.where(fits(_as_text(inner), *limit))
         found = unrolled(documents(inner, "_doc"), compiled, index=include_array_index, ordered=ordered, max_depth=max_depth, array_depth=array_depth)
         if deep is not None:
             found = found.unionByName(deep)
@@ -103,6 +106,11 @@ def _as_text(df: DataFrame) -> Column:
     return F.col("_doc") if isinstance(df.schema["_doc"].dataType, T.StringType) else F.to_json("_doc")
 
 
+def _made(df: DataFrame) -> DataFrame:
+    """df with its documents as text. By a generator, as a plan would make the text anew for each use of it."""
+    return df.withColumn("_doc", F.explode(F.array(_as_text(df))))
+
+
 def _in_python(df: DataFrame, path: PathExpr, index: bool) -> DataFrame:
     return by_udtf(df.withColumn("_v", _as_text(df)).drop("_doc"), path, index=index)
 
